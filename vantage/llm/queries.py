@@ -15,6 +15,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.token_store import read_store, write_store
+
+    store = write_store(_read(spark, sf_dir, "documents"))
+    return read_store(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

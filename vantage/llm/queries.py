@@ -28,6 +28,13 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.langid import held_out, identify
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

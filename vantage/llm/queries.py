@@ -28,6 +28,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.warc import archive
+
+    return archive(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.langid import held_out, identify
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.llm.common import map_batches, written
-from vantage.llm.tokens import Encoder, default_tokenizer
+from vantage.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
 SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 4, 6
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for b in batches:
             rows = []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.llm.common import dir_size_partitions, file_system, fresh_path, map_batches, shuffle_partitions, written
-from vantage.llm.tokens import Encoder, default_tokenizer
+from vantage.llm.tokens import Encoder, default_tokenizer, encoder
 
 MAGIC = b"VHUFF01\n"
 MAX_BITS, BLOCK, SEGMENT = 20, 256, 1 << 20
@@ -125,7 +125,7 @@ def _tokens(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Data
     """(doc_id, ids, n): each document's ids with the end id, little-endian."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         end = bytes(encode.dtype.itemsize)
         for b in batches:
             ids = [encode(x) + end for x in b.column(1).to_pylist()]

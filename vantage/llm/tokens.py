@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -15,7 +16,7 @@ _TWO_SPACES = re.compile(r" \s")
 #: Marks that end a word: a run of them after letters is one pre-token of its own.
 _ENDS = ".,!?;:|%#$*&"
 #: Parts kept in the memory of one Python worker, and the longest part that is kept.
-KEPT_PARTS, KEPT_LENGTH = 700_000, 48
+KEPT_PARTS, KEPT_LENGTH = 1_000_000, 40
 
 
 def default_tokenizer() -> str:
@@ -50,8 +51,8 @@ class Encoder:
         self.space = self.letters[32]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "<%dH" if self.dtype.itemsize == 2 else "<%dI"
-        self.kept: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # parts after a space
+        self.bare: dict[str, bytes] = {}  # others
 
     def _whole(self, text: str) -> bytes:
         ids = self.tok.encode(text, add_special_tokens=False).ids
@@ -67,7 +68,7 @@ class Encoder:
             return ids
         word = part.rstrip(_ENDS)
         if word.isalpha():
-            if word != part:
+            if len(word) != len(part):
                 ids = self._piece(word, kept, before) + self._piece(part[len(word) :], self.bare, "")
             else:
                 spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
@@ -78,7 +79,7 @@ class Encoder:
                 return self._piece(first, kept, before) + self._piece(line, self.bare, "") + self._piece(rest, self.bare, "")
             ids = self._whole(before + part)
         if len(part) <= KEPT_LENGTH:
-            if len(kept) > KEPT_PARTS:
+            if len(kept) > (KEPT_PARTS if before else KEPT_PARTS // 4):
                 kept.clear()
             kept[part] = ids
         return ids
@@ -97,3 +98,9 @@ class Encoder:
         if None in ids:
             ids = [self._piece(p, self.kept, " ") if x is None else x for p, x in zip(parts, ids, strict=True)]
         return head + b"".join(ids)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The worker's own encoder: later tasks in a worker go on with the words that earlier ones met."""
+    return Encoder(path)

@@ -28,6 +28,18 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.pii import replace
+
+    return replace(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.mixing import weigh
+
+    return weigh(_read(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "p", "kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.warc import archive
 

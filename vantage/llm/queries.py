@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.fingerprints import compare_neighbours
+
+    return compare_neighbours(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.simhash import near_duplicates
 

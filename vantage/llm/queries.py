@@ -15,6 +15,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.embed_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.simhash import near_duplicates
 

@@ -65,6 +65,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.chat import link_conversations
+
+    return link_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

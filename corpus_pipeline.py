@@ -25,10 +25,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates stays: a row of its least doc_id (of repeated ids, the least text).
 
-    Documents with a null doc_id stay only where their whole component has null ids.
+    A component is named by its least doc_id, so rows that share that id are one component here. Documents with a null
+    doc_id stay only where their whole component has null ids.
     """
     found = written(near_duplicates(docs), "components").select(F.col("doc_id").alias("_id"), "component_id").where("_id <=> component_id")
-    kept = docs.join(found.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # ids are as many as documents: never broadcast, so that every size runs the same plan
+    kept = docs.join(found.select("_id").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     again = found.groupBy("_id").count().where("count > 1")
     if again.isEmpty():
         return kept.select(docs.columns)

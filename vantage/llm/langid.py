@@ -3,7 +3,7 @@
 A text is lower-cased, everything but letters becomes a space, and the subwords are the UTF-8 byte n-grams of 1 to 4
 bytes inside words, a word's ends included. Each is hashed to one of ``BUCKETS`` embeddings; their mean goes through a
 linear softmax. The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled documents
-(``PER_LANGUAGE`` of each language, those of least hash) and on short windows of them. A part of the sample that
+(about ``PER_LANGUAGE`` of each language, those of least hash) and on short windows of them. A part of the sample that
 training doesn't see sets a temperature and the least score at which a prediction is accepted.
 
 A prediction uses a document's whole text and nothing else. Texts that are null or have no letter are ``und`` with
@@ -19,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.llm.common import map_batches, written
 
 BUCKETS, DIM, NGRAMS = 1 << 15, 16, (1, 2, 3, 4)
 PER_LANGUAGE, LANGUAGES, WINDOWS = 300, 256, 3
+#: Documents of the whole sample, about, however many the languages: some tens of MB of counts in the driver.
+SAMPLE = 4800
 EPOCHS, RATE, BATCH = 12, 40.0, 32
 #: Of validation texts, the share that may be rejected; a score over MOST is never rejected.
 REJECTS, MOST = 0.002, 0.5
@@ -140,22 +142,17 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(doc_id, text, lang): of each of the ``LANGUAGES`` commonest languages, the rows of least doc_id hash.
+    """(doc_id, text, lang): of each of the ``LANGUAGES`` commonest languages, about ``per_language`` rows of least doc_id hash.
 
-    Ids are cut to the first few of a language before they are shuffled; texts are read for the chosen ids alone.
+    A language's share of hashes follows from its number of rows, so nothing is ranked or gathered.
     """
     known = docs.where("lang is not null and doc_id is not null and text is not null")
-    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    hashed = known.withColumn("_h", F.xxhash64(F.lit("langid"), "doc_id"))
-    first = Window.partitionBy("lang").orderBy("_h")
-    cuts = hashed.select("lang", "_h").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).groupBy("lang").agg(F.max("_h").alias("m")).collect()
-    cuts = {r.lang: r.m for r in cuts if r.lang in common}
-    if not cuts:
-        return known.limit(0).select("doc_id", "text", "lang")
-    chosen = F.lit(False)
-    for lang, most in cuts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("_h") <= most))
-    return hashed.where(chosen).limit(per_language * len(cuts)).select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    chosen, n = F.lit(False), min(per_language, SAMPLE // max(1, len(counts)))
+    u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    for r in counts:
+        chosen = chosen | ((F.col("lang") == r.lang) & (u < n / r["count"]))
+    return known.where(chosen).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -181,7 +178,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "k", "lang", "ids", "counts"])
 
-    rows = written(map_batches(sample(docs, per_language), run, "doc_id long, k int, lang string, ids binary, counts binary"), "langid").toArrow()
+    most = 2 * (WINDOWS + 1) * SAMPLE  # bounds repeated doc_ids; as many rows are never expected
+    rows = written(map_batches(sample(docs, per_language), run, "doc_id long, k int, lang string, ids binary, counts binary"), "langid").limit(most).toArrow()
     rows = rows.sort_by([("k", "ascending"), ("lang", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")]) if rows.num_rows else rows
     return train([(r["lang"], np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["counts"], "<f4")) for r in rows.to_pylist()])
 

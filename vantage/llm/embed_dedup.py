@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from vantage.llm.common import components, written
 
-COSINE, BLOCK, GRID, TILE = 0.95, 16, 2, 16384
+COSINE, BLOCK, GRID, TILE = 0.95, 16, 2, 65536
 SLACK = 1e-9
-_ROWS = 256
+_ROWS, _COLUMNS = 256, 16384
 
 
 @lru_cache(maxsize=8)
@@ -50,17 +50,30 @@ def budgets(dim: int, cosine: float, size: int = BLOCK) -> np.ndarray:
     return np.array([(2 - 2 * cosine) * len(b) / dim for b in blocks(dim, size)]) * (1 + SLACK)
 
 
-def unit_bytes(batch: pa.Array) -> list[bytes | None]:
-    """Each vector's components as float64 bytes; None if it can't link."""
+def vector_bytes(batch: pa.Array) -> list[bytes | None]:
+    """Each vector's components, after a byte that tells whether single precision holds them; None if it can't link."""
     out: list[bytes | None] = []
     for x in batch.to_pylist():
         v = None if not x or None in x else np.array(x, np.float64) + 0.0  # -0.0 becomes 0.0
-        out.append(None if v is None or not np.isfinite(v).all() or not v.any() else v.tobytes())
+        if v is None or not np.isfinite(v).all() or not v.any():
+            out.append(None)
+            continue
+        with np.errstate(over="ignore"):
+            short = v.astype(np.float32)
+        out.append(b"f" + short.tobytes() if (short == v).all() else b"d" + v.tobytes())
     return out
 
 
+def dimensions(blob: bytes) -> int:
+    return (len(blob) - 1) // (4 if blob[:1] == b"f" else 8)
+
+
 def _units(blobs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+    """Unit vectors, in double precision, of blobs of equal dimensions."""
+    if all(b[:1] == b"f" for b in blobs):
+        x = np.frombuffer(b"".join(b[1:] for b in blobs), np.float32).reshape(len(blobs), -1).astype(np.float64)
+    else:
+        x = np.array([np.frombuffer(b, np.float32 if b[:1] == b"f" else np.float64, offset=1).astype(np.float64) for b in blobs])
     x = x / np.abs(x).max(axis=1, keepdims=True)  # lest squares overflow or vanish
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -120,39 +133,50 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
 def tile_links(block: int, x: np.ndarray, weight: np.ndarray, side: np.ndarray, part: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Numbers of links (weighted) and a spanning forest of a tile's links that are this block's to count.
 
-    Pairs need one row of the cell itself (side 0) and, in a tile of two parts, one row of each.
+    Pairs need one row of the cell itself (side 0) and, in a tile of two parts, one row of each. Rows of the cell come
+    first, so a pair is met once, by its earlier row. The block's distances are screened in single precision, with
+    room for its error, by one product: |a - b|^2 <= s exactly if a.b - |b|^2 / 2 >= (|a|^2 - s) / 2.
     """
+    order = np.argsort(side, kind="stable")
+    back = order  # place in the tile of each sorted row
+    x, weight, part, own = x[order], weight[order], part[order], int((side == 0).sum())
     n, dim = x.shape
     y = x @ rotation(dim)
     cuts, budget = blocks(dim), budgets(dim, cosine)
-    z = y[:, cuts[block]]
+    z = y[:, cuts[block]].astype(np.float32)
     norm = np.einsum("ij,ij->i", z, z)
+    left = np.concatenate((z[:own], np.ones((own, 1), np.float32)), axis=1)
+    right = np.concatenate((z, -norm[:, None] / 2), axis=1).T.copy()
+    least = (norm[:own] - np.float32(budget[block])) / 2 - np.float32(1e-5)
     starts = np.array([c[0] for c in cuts])
     counts, label, forest = np.zeros(n, np.int64), np.arange(n), []
-    own = np.flatnonzero(side == 0)
     two = part.min() != part.max()
-    rank = np.where(side == 0, np.arange(n), n)  # copies come after all own rows
-    for at in range(0, len(own), _ROWS):
-        rows = own[at : at + _ROWS]
-        near = norm[rows][:, None] + norm[None] - 2 * (z[rows] @ z.T) <= budget[block] * (1 + SLACK) + 1e-12
-        near &= rank[None] > rank[rows][:, None]
-        if two:
-            near &= part[None] != part[rows][:, None]
-        r, j = np.nonzero(near)
-        i = rows[r]
-        for lo in range(0, len(i), 1 << 17):
-            p, q = i[lo : lo + (1 << 17)], j[lo : lo + (1 << 17)]
-            ok = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-            p, q = p[ok], q[ok]
-            if not len(p):
+    for at in range(0, own, _ROWS):
+        for col in range(at, n, _COLUMNS):
+            some = right[:, col : col + _COLUMNS]
+            hit = np.flatnonzero(left[at : at + _ROWS] @ some >= least[at : at + _ROWS, None])
+            if not len(hit):
                 continue
-            gaps = np.add.reduceat((y[p] - y[q]) ** 2, starts, axis=1) <= budget
-            mine = gaps.argmax(axis=1) == block
-            p, q = p[mine], q[mine]
-            counts += np.bincount(p, weight[q], n).astype(np.int64) + np.bincount(q, weight[p], n).astype(np.int64)
-            label, joined = _forest(label, p, q)
-            forest += joined
-    return counts, forest
+            i, j = np.divmod(hit, some.shape[1])
+            i, j = i + at, j + col
+            keep = (j > i) & (part[i] != part[j]) if two else j > i
+            i, j = i[keep], j[keep]
+            for lo in range(0, len(i), 1 << 16):
+                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                ok = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+                p, q = p[ok], q[ok]
+                if not len(p):
+                    continue
+                gaps = np.add.reduceat((y[p] - y[q]) ** 2, starts, axis=1) <= budget
+                mine = gaps.argmax(axis=1) == block
+                p, q = p[mine], q[mine]
+                np.add.at(counts, p, weight[q])
+                np.add.at(counts, q, weight[p])
+                label, joined = _forest(label, p, q)
+                forest += joined
+    out = np.zeros(n, np.int64)
+    out[back] = counts
+    return out, [(int(back[i]), int(back[j])) for i, j in forest]
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -165,7 +189,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit_bytes(b.column(1)), pa.binary())], ["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vector_bytes(b.column(1)), pa.binary())], ["vec_id", "v"])
 
     rows = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e")).mapInArrow(read, "vec_id long, v binary"), "vectors")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
@@ -175,7 +199,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cid, n, v = b.column("cid").to_numpy(), b.column("n").to_numpy(), b.column("v").to_pylist()
-                sizes = np.array([len(x) for x in v])
+                sizes = np.array([dimensions(x) for x in v])
                 for size in np.unique(sizes):
                     some = np.flatnonzero(sizes == size)
                     blobs = [v[k] for k in some]

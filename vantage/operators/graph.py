@@ -121,29 +121,28 @@ def chains(edges: DataFrame, sources: DataFrame, max_nodes: int = M.MAX_CHAIN_NO
     ``edges`` are numbered (src_repo, src_id, dst_repo, dst_id, scope 'call' or 'cross', ord). A chain is a path without
     repeated nodes that has crossed; it is one at every node from there on, up to ``max_nodes`` nodes. Depth-first
     preorder is the lexicographic order of edge places, prefixes first, so the first ``per_source`` chains of a source
-    and the first ``total`` in source order are found by rank. A round adds one node to all open paths and drops those
+    and the first ``total`` in source order are found by rank. A round adds one node to the longest paths and drops those
     that ``per_source`` chains already precede: nothing after them can count. The exact limits are the result's own.
+    A source's open paths are ranked together: at most ``per_source`` times its nodes' out-degrees.
     """
-    steps = settled(edges.where("src_id <> '' and dst_id <> ''").select("src_repo", "src_id", "dst_repo", "dst_id", "scope", "ord"))
+    steps = edges.where("src_id <> '' and dst_id <> ''").select("src_repo", "src_id", "dst_repo", "dst_id", "scope", "ord")
+    steps = settled(steps.repartition("src_repo", "src_id"))
     here = F.struct(F.col("repo"), F.col("node_id"))
     start = sources.where("node_id <> ''").select("repo", "node_id").distinct()
-    paths = start.select(F.col("repo").alias("source_repo"), F.col("node_id").alias("source_id"), "repo", "node_id", F.array(here).alias("path"), F.array(F.lit("source")).alias("scopes"), F.array().cast("array<int>").alias("ords"), F.lit(False).alias("crossed"))
-    found, ranked = None, Window.partitionBy("source_repo", "source_id").orderBy("ords")
-    for _ in range(max_nodes - 1):
-        on = (F.col("repo") == F.col("src_repo")) & (F.col("node_id") == F.col("src_id"))
-        there = F.struct(F.col("dst_repo").alias("repo"), F.col("dst_id").alias("node_id"))
-        nxt = paths.join(steps, on).where(~F.array_contains("path", there))
+    state = start.select(F.col("repo").alias("source_repo"), F.col("node_id").alias("source_id"), "repo", "node_id", F.array(here).alias("path"), F.array(F.lit("source")).alias("scopes"), F.array().cast("array<int>").alias("ords"), F.lit(False).alias("crossed"))
+    before = Window.partitionBy("source_repo", "source_id").orderBy("ords").rowsBetween(Window.unboundedPreceding, 0)
+    on = (F.col("repo") == F.col("src_repo")) & (F.col("node_id") == F.col("src_id"))
+    there = F.struct(F.col("dst_repo").alias("repo"), F.col("dst_id").alias("node_id"))
+    for level in range(1, max_nodes):
+        front = state.where(F.size("path") == level)
+        nxt = front.join(steps, on).where(~F.array_contains("path", there))
         nxt = nxt.select("source_repo", "source_id", F.col("dst_repo").alias("repo"), F.col("dst_id").alias("node_id"), F.concat("path", F.array(there)).alias("path"), F.concat("scopes", F.array("scope")).alias("scopes"), F.concat("ords", F.array("ord")).alias("ords"), (F.col("crossed") | (F.col("scope") == "cross")).alias("crossed"))
-        nxt = settled(nxt)
-        if nxt.isEmpty():
+        # chains so far and open paths in preorder; what comes after per_source chains can't lead to one that counts
+        every = state.where("crossed").unionByName(nxt).withColumn("chains", F.sum(F.col("crossed").cast("int")).over(before))
+        state = settled(every.where((F.col("chains") < per_source) | (F.col("crossed") & (F.col("chains") == per_source))).drop("chains"))
+        if state.where(F.size("path") == level + 1).isEmpty():
             break
-        made = nxt.where("crossed").select("source_repo", "source_id", "path", "scopes", "ords")
-        every = made if found is None else found.unionByName(made)
-        found = settled(every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_source).drop("rank"))
-        full = found.groupBy("source_repo", "source_id").agg(F.max("ords").alias("last"), F.count("*").alias("n")).where(F.col("n") >= per_source)
-        paths = nxt.join(full, ["source_repo", "source_id"], "left").where("last is null or ords <= last").drop("last", "n")
-    if found is None:
-        found = paths.limit(0).select("source_repo", "source_id", "path", "scopes", "ords")
+    found = state.where("crossed").select("source_repo", "source_id", "path", "scopes", "ords")
     # at most per_source rows a source are left, and only the first ``total`` of them are ranked together
     first = found.orderBy("source_repo", "source_id", "ords").limit(total)
     return first.withColumn("place", F.row_number().over(Window.orderBy("source_repo", "source_id", "ords")))

@@ -75,5 +75,41 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: Base32 of a SHA-1 in hexadecimal: 32 groups of five bits, each from three hexadecimal digits that hold it.
+_BASE32 = """list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST(((CAST('0x' || substr(sha1(payload) || '00', CAST((5 * i) // 4 AS BIGINT) + 1, 3) AS INT) >> CAST(7 - (5 * i) % 4 AS INT)) & 31) AS BIGINT), 1)), lambda a, b: a || b)"""
+
+_ORACLES = {
+    "op2_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+          u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+          links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+          reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS component_id,
+          e.vec_id = (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS kept FROM embeddings e""",
+    "op8_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), d AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+          CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op10_chat": """
+        WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth,
+            EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = c.conv_id AND b.role = 'user' AND b.turn = c.turn - 2) AS follows FROM conversations c WHERE role = 'user'),
+          r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE role = 'assistant'),
+          ids AS (SELECT DISTINCT conv_id, turn FROM u),
+          every AS (
+            SELECT u.conv_id, u.turn, u.turn AS id_turn, 'reply' AS name, CASE WHEN u.nth > 1 THEN 'repeated_call' WHEN u.text = '' THEN 'bad_arguments' WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+              r.turn AS result_turn, '{"after":' || CASE WHEN follows THEN '{"$ref":"turn-' || CAST(u.turn - 2 AS VARCHAR) || '"},' ELSE '' END AS head, u.text AS prompt, r.text AS answer, follows
+            FROM u LEFT JOIN r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 AND r.nth = 1 AND u.nth = 1
+            UNION ALL SELECT r.conv_id, r.turn, r.turn - 1, NULL, CASE WHEN i.turn IS NULL THEN 'orphan_result' ELSE 'repeated_result' END, r.turn, NULL, NULL, r.text, false
+            FROM r LEFT JOIN ids i ON i.conv_id = r.conv_id AND i.turn = r.turn - 1 WHERE i.turn IS NULL OR r.nth > 1)
+        SELECT conv_id, turn, CAST(0 AS BIGINT) AS place, 'turn-' || CAST(id_turn AS VARCHAR) AS call_id, name, status, CASE WHEN status = 'bad_arguments' THEN '$.prompt: length 0' ELSE '' END AS problems,
+          turn AS anchor_turn, CAST(0 AS BIGINT) AS anchor_place, 0 AS level, result_turn,
+          '{"arguments":' || CASE WHEN name IS NULL THEN 'null' WHEN follows THEN head || '"prompt":' || CAST(to_json(prompt) AS VARCHAR) || '}' ELSE '{"prompt":' || CAST(to_json(prompt) AS VARCHAR) || '}' END
+            || ',"id":"turn-' || CAST(id_turn AS VARCHAR) || '","name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || CASE WHEN answer IS NULL THEN 'null' ELSE CAST(to_json(answer) AS VARCHAR) END || '}' AS json
+        FROM every""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the tests hold the others against brute force, round trips or held-out accuracy."""
+    return dict(_ORACLES)

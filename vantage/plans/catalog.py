@@ -653,3 +653,85 @@ def ext_remap(v: Views) -> DataFrame:
     mods = modules.modules(_entry_rows(v))
     mapping = mods.select("module", F.explode("types").alias("type")).where("type <> 'socket'").withColumn("representative", F.when(F.col("type").isin("database_query", "file_read"), "file_read").otherwise(F.col("type")))
     return interfaces.remap_types(mods.select("module", "types"), mapping).select("module", F.array_join("types", " ").alias("types"))
+
+
+# ---- discovery and drawings
+
+_MARKS = " ".join(f"WHEN string_split(rel, '/')[-1] = '{m}' THEN {i}" for i, (m, _) in enumerate(M.MARKER_FILES)) + " " + " ".join(f"WHEN ends_with(rel, '{m}') THEN {i + len(M.MARKER_FILES)}" for i, (m, _) in enumerate(M.MARKER_SUFFIXES))
+_MARK_NAMES = " ".join(f"WHEN {i} THEN '{lang}'" for i, (_, lang) in enumerate([*M.MARKER_FILES, *M.MARKER_SUFFIXES]))
+_EXCLUDED = "[" + ", ".join(f"'{d}'" for d in M.EXCLUDED_DIRS) + "]"
+
+
+@query(f"""WITH own AS (SELECT repo, rel, string_split(rel, '/')[-1] AS name FROM {{named_files}} WHERE NOT list_has_any(string_split(rel, '/')[:-2], {_EXCLUDED}) AND len(string_split(rel, '/')) <= 4),
+    m AS (SELECT repo, rel, CASE {_MARKS} END AS mark, CASE WHEN contains(name, '.') THEN {literal_cases(M.MAJORITY_EXTENSIONS, "lower(string_split(name, '.')[-1])", "NULL")} END AS kind FROM own),
+    best AS (SELECT repo, min(mark) AS mark FROM m GROUP BY repo), n AS (SELECT repo, kind, count(*) AS n, min(rel) AS first FROM m WHERE kind IS NOT NULL GROUP BY ALL),
+    most AS (SELECT repo, arg_min(kind, (-n, CASE kind WHEN 'cpp' THEN 0 ELSE 1 END, first)) AS kind FROM n GROUP BY repo)
+    SELECT b.repo, coalesce(CASE b.mark {_MARK_NAMES} END, s.kind, '') AS language FROM best b LEFT JOIN most s ON s.repo = b.repo""")
+def detect_language(v: Views) -> DataFrame:
+    from vantage.sources.files import languages
+
+    return languages(v.named_files)
+
+
+@query(f"""WITH seen AS (SELECT DISTINCT path, string_split(path, '/') AS parts FROM {{dirs}} WHERE has_git AND NOT list_has_any(string_split(path, '/'), {_EXCLUDED}) AND len(list_filter(string_split(path, '/'), lambda d: starts_with(d, '.'))) = 0),
+    top AS (SELECT a.path, a.parts, arg_min(b.path, length(b.path)) AS owner FROM seen a JOIN seen b ON a.path = b.path OR starts_with(a.path, b.path || '/') GROUP BY ALL)
+    SELECT path, CASE WHEN path = owner THEN 'repository' ELSE 'module' END AS role, owner FROM top
+    WHERE CASE WHEN path = owner THEN len(parts) <= 3 ELSE len(parts) - len(string_split(owner, '/')) <= 3 END""")
+def discover_repositories(v: Views) -> DataFrame:
+    from vantage.sources.files import repositories
+
+    return repositories(v.dirs)
+
+
+_FLOW_RULES = """SELECT 'repeated_name' AS rule, n_name AS subject FROM (SELECT n_name FROM {nation} GROUP BY n_name HAVING count(*) > 1)
+    UNION SELECT 'unknown_repository', to_repo FROM {flow_edges} WHERE to_repo NOT IN (SELECT 'n' || CAST(n_nationkey AS VARCHAR) FROM {nation})
+    UNION SELECT 'self_link', from_repo FROM {flow_edges} WHERE from_repo = to_repo"""
+
+
+@query(_FLOW_RULES)
+def config_violations(v: Views) -> DataFrame:
+    from vantage.sources.config import violations
+
+    repos = v.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("path"), F.lit("go").alias("language"))
+    return violations(repos, v.flow_edges.withColumnRenamed("link_type", "type"))
+
+
+def _drawn(v: Views, text: str, *more: object) -> DataFrame:
+    """What a driver-side renderer made, as a row."""
+    return v._spark.createDataFrame([(text, *more)], "drawing string, items long")
+
+
+def _module_list(v: Views) -> list[tuple[str, list[str]]]:
+    return [(r.module, list(r.types)) for r in modules.modules(_entry_rows(v)).orderBy("module").collect()]
+
+
+@query()  # text made by a template; the tests parse it
+def svg_render(v: Views) -> DataFrame:
+    from vantage.sinks.render import exposure_svg
+
+    rows = _module_list(v)
+    return _drawn(v, exposure_svg(rows, "parts", "python"), len(rows))
+
+
+@query()
+def cert_json(v: Views) -> DataFrame:
+    import json
+
+    from vantage.sinks.render import exposure_model
+
+    made = exposure_model(_module_list(v), "parts", "python")
+    return _drawn(v, json.dumps(made, ensure_ascii=False), len(made["nodeDataArray"]))
+
+
+@query()  # each place depends on all before it
+def avail_y_layout(v: Views) -> DataFrame:
+    from vantage.sinks.render import next_free
+
+    used: list[tuple[float, float]] = []
+    rows = []
+    for name, types in _module_list(v):
+        for j, kind in enumerate(types):
+            y = next_free(used, 80.0 + 50 * j, 105.0)
+            used.append((y, y + 105.0))
+            rows.append((name, kind, float(y)))
+    return v._spark.createDataFrame(rows, "module string, type string, y double")

@@ -125,7 +125,9 @@ def save(result: Result, folder: str, form: str = "svg") -> dict[str, str]:
     surface = {"sources": [x.asDict() for x in result.surface["sources"].orderBy("repo", "node_id").toLocalIterator()], "reachable": [x.asDict() for x in result.surface["reachable"].toLocalIterator()], "chains": [x.asDict() for x in named.collect()]}
     edges = [x.asDict() for x in result.links.toLocalIterator()]
     files = {x.node_id: x.file_path for x in result.endpoints.select("node_id", "file_path").toLocalIterator()}
-    out |= render.project_graph(render.project_model(result.project, result.entries, edges, surface), folder, form, files)
+    model = render.project_model(result.project, result.entries, edges, surface)
+    out |= render.project_graph(model, folder, form, files)
+    out["scan"] = render._write(os.path.join(folder, "project_scan.json"), render.json.dumps({**model, "edges": edges}, ensure_ascii=False, indent=2))
     result.entries.write.mode("overwrite").partitionBy("repo").parquet(os.path.join(folder, "entries.parquet"))
     spark.catalog.clearCache()
     return out

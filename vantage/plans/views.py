@@ -67,6 +67,17 @@ VIEWS = {
         FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey""",
     "paths": "SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM {pages}",
     "files": "SELECT source AS repo, lang || '/' || CAST(doc_id AS STRING) AS rel, n_chars AS size FROM {documents}",
+    "named_files": """
+        SELECT 'r' || CAST(l_suppkey % 40 AS STRING) AS repo,
+               CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'src/' WHEN 2 THEN 'a/b/c/d/' ELSE 'vendor/x/' END || 'f' || CAST(l_orderkey AS STRING) ||
+               CASE WHEN l_suppkey % 40 < 30 THEN CASE l_partkey % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.C' WHEN 3 THEN '.hpp' WHEN 4 THEN '' ELSE '.tar.js' END
+                    WHEN l_suppkey % 40 < 36 THEN CASE WHEN l_partkey % 50 = l_suppkey % 3 THEN '/pom.xml' WHEN l_partkey % 50 = 7 THEN '/package.json' ELSE '.ts' END
+                    WHEN l_suppkey % 40 < 39 THEN CASE WHEN l_partkey % 90 = 1 THEN '.sln' ELSE '.java' END ELSE '.txt' END AS rel
+        FROM {lineitem}""",
+    "dirs": """
+        SELECT DISTINCT CASE p_size % 5 WHEN 0 THEN p_type WHEN 1 THEN p_type || '/' || p_brand WHEN 2 THEN p_type || '/' || p_brand || '/m' || CAST(p_partkey % 7 AS STRING)
+               WHEN 3 THEN 'vendor/' || p_brand ELSE p_type || '/x/y/z/w' || CAST(p_partkey % 3 AS STRING) END AS path, p_brand <> 'Brand#3' AND (p_size % 5 <> 0 OR p_type = 'SMALL') AS has_git
+        FROM {part}""",
     "snapshots": """
         SELECT user_id, event_type, CAST(CAST(ts AS DATE) AS STRING) || ' ' || CAST(event_id % 5 AS STRING) AS version, event_id AS mtime, value
         FROM {events}""",

@@ -1,9 +1,10 @@
 """WARC archives: writing, the normaliser of monolithic gzip files, and reading by offset.
 
-``write_monolithic`` writes each task's records as one gzip stream. ``normalise`` inflates such a stream once, front to
-back, writes every record as a gzip member of its own, and writes a sidecar index with a JSON line for each record:
-offset, length, type, id, digest, target URI. ``read_indexed`` seeks to each member by the index and parses it alone.
-All three stream: a record's bytes pass through in chunks of ``CHUNK``; a reader holds one record.
+``write_monolithic`` writes each task's records as one gzip stream, all as responses. ``normalise`` inflates such a
+stream once, front to back, writes every record as a gzip member of its own, those that repeat another's payload as
+revisits, and writes a sidecar index with a JSON line for each record: offset, length, type, id, digest, target URI.
+``read_indexed`` seeks to each member by the index and parses it alone. The normaliser passes bytes on in chunks of
+``CHUNK``; writer and reader hold one record. Pages aren't shuffled: which records repeat is found from narrow rows.
 
 Equal payloads of at least ``least`` bytes are stored once: by the record of the smallest page_id (of equal ids, the
 smallest url); the others become revisit records that refer to it. Rows equal in page_id, url and payload are each a
@@ -19,13 +20,14 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import file_system, fresh_path, map_batches
+from vantage.llm.common import file_system, fresh_path, map_batches, written
 
 CHUNK, ARCHIVE = 1 << 20, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -46,21 +48,24 @@ def _uri(url: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) <= 32 or ord(c) == 127 else c for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
-    """One record with its closing blank lines; a revisit if it refers to another page."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    revisit = refers_to is not None
-    body = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, url)}", f"WARC-Date: {DATE}"]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {_uri(url)}")
-    head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
-    if revisit:
-        head += [f"WARC-Refers-To: {record_id(refers_to, refers_url)}", f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page: {refers_to}"]
+def _head(kind: str, own_id: str, uri: str | None, digest: str, page_id: int | str | None, length: int, refers: tuple[int, str | None] | None = None) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own_id}", f"WARC-Date: {DATE}"]
+    if uri is not None:
+        head.append(f"WARC-Target-URI: {uri}")
+    head.append(f"WARC-Payload-Digest: {digest}")
+    if refers is not None:
+        head += [f"WARC-Refers-To: {record_id(*refers)}", f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page: {refers[0]}"]
     if page_id is not None:
         head.append(f"X-Page: {page_id}")
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
-    return "\r\n".join(head).encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
+    return "\r\n".join([*head, "Content-Type: application/http; msgtype=response", f"Content-Length: {length}", "", ""]).encode("utf-8", "surrogatepass")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str | None = None) -> bytes:
+    """One response record with its closing blank lines."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    uri = None if url is None else _uri(url)
+    head = _head("response", record_id(page_id, url), uri, f"sha1:{digest or payload_digest(payload)}", page_id, len(http) + len(payload))
+    return head + http + payload + b"\r\n\r\n"
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -126,90 +131,108 @@ def _records(stream: Iterator[bytes]) -> Iterator[tuple[bytes, Iterator[bytes]]]
             pass
 
 
-def normalise(source: BinaryIO, target: BinaryIO, index: BinaryIO) -> int:
-    """Rewrite a gzip file of WARC records with a member for each record, and index them; returns their number."""
+def _http_head(body: Iterator[bytes]) -> bytes:
+    """The HTTP header of a record's body, with its blank line."""
+    held = b""
+    for part in body:
+        held += part
+        if (end := held.find(b"\r\n\r\n")) >= 0:
+            return held[: end + 4]
+    raise ValueError("a record has no HTTP header")
+
+
+def normalise(source: BinaryIO, target: BinaryIO, index: BinaryIO, revisits: dict[int, tuple[int, str | None]] | None = None) -> int:
+    """Rewrite a gzip file of WARC records with a member for each record, and index them; returns their number.
+
+    ``revisits`` gives, by place in the file from 0, the records to store as revisits, with the page_id and url they refer to.
+    """
     at = n = 0
     for head, body in _records(inflated(source)):
+        fields = parse_head(head)
+        if revisits and n in revisits:
+            http = _http_head(body)
+            head, body = _head("revisit", fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-payload-digest"], fields.get("x-page"), len(http), revisits[n]), iter([http])
+            fields = parse_head(head)
         z, size = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0
-
-        def put(data: bytes) -> None:
-            nonlocal size
+        for part in chain([head], body, [b"\r\n\r\n", None]):  # None: the member ends
+            data = z.flush() if part is None else z.compress(part)
             target.write(data)
             size += len(data)
-
-        put(z.compress(head))
-        for part in body:
-            put(z.compress(part))
-        put(z.compress(b"\r\n\r\n"))
-        put(z.flush())
-        fields = parse_head(head)
         index.write(json.dumps({"offset": at, "length": size, "type": fields.get("warc-type"), "id": fields.get("warc-record-id"), "digest": fields.get("warc-payload-digest"), "uri": fields.get("warc-target-uri")}, ensure_ascii=False).encode("utf-8", "surrogatepass") + b"\n")
         at, n = at + size, n + 1
     return n
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to, refers_url): what a record revisits is null for responses."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    own = own.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    first = own.where("page_id is not null").groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"))
-    joined = own.join(first, "digest", "left")
-    same = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
-    revisit = F.col("first").isNotNull() & ~same & (F.octet_length("html") >= least)
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.when(revisit, F.col("first.url")).alias("refers_url"))
-
+def write_monolithic(pages: DataFrame, path: str) -> DataFrame:
+    """Write a response for each row of (page_id, url, html) where it is read; pages aren't shuffled.
 
-def write_monolithic(pages: DataFrame, path: str, least: int = 0) -> list[str]:
-    """Write a record for each row of (page_id, url, html); returns the files, as many as tasks and full archives."""
+    Returns a row for each record: name, place (in its file, from 0), page_id, url, digest, payload_bytes.
+    """
     fs, root = file_system(path)
     fs.create_dir(root, recursive=True)
+    schema = "name string, place long, page_id long, url string, digest string, payload_bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = file_system(path)
         out = z = name = None
-        size = 0
-        names = []
+        size = place = 0
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows = []
+            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
-                    name, size, z = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    name, size, place, z = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     out = own.open_output_stream(name, compression=None)
-                page_id, url, html, refers_to, refers_url = row
-                data = record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, refers_url)
+                payload = (html or "").encode("utf-8", "surrogatepass")
+                digest = payload_digest(payload)
+                data = record(page_id, url, payload, digest)
                 out.write(z.compress(data))
-                size += len(data)
+                rows.append((name, place, page_id, url, digest, len(payload)))
+                size, place = size + len(data), place + 1
                 if size > ARCHIVE:
                     out.write(z.flush())
                     out.close()
-                    names.append(name)
                     out = None
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["name", "place", "page_id", "url", "digest", "payload_bytes"])
         if out is not None:
             out.write(z.flush())
             out.close()
-            names.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    return sorted(r.name for r in map_batches(with_revisits(pages, least), run, "name string").collect())
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return written(map_batches(own, run, schema), "warc-records")
 
 
-def _on_files(spark, names: list[str], run, schema: str) -> DataFrame:
-    files = spark.createDataFrame([(n,) for n in names], "name string")
-    return files.repartition(max(1, len(names))).mapInArrow(run, schema)
+def revisits(records: DataFrame, least: int = 0) -> DataFrame:
+    """(name, revisits): the files, each with the places of its records that revisit another, and what they refer to.
 
+    Narrow rows alone are joined; a file's list is as long as an archive has records.
+    """
+    first = records.where("page_id is not null").groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
+    joined = records.join(first, "digest")
+    same = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    again = joined.where(~same & (F.col("payload_bytes") >= least)).select("name", F.struct("place", F.col("first.page_id").alias("to"), F.col("first.url").alias("to_url")).alias("r"))
+    return records.select("name").distinct().join(again.groupBy("name").agg(F.collect_list("r").alias("revisits")), "name", "left")
 
-def normalise_all(spark, names: list[str], path: str) -> list[str]:
-    """Normalise each file into the folder ``path``; returns the new files, beside which lie their indexes (.idx)."""
+
+def normalise_all(files: DataFrame, path: str) -> list[str]:
+    """Normalise the files of ``revisits`` into the folder ``path``; returns the new files, beside which lie their indexes (.idx).
+
+    Each file is a task of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = file_system(path)
         for b in batches:
-            for name in b.column(0).to_pylist():
+            for name, again in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 made = f"{base}/{uuid.uuid4().hex}.warc.gz"
                 with own.open_input_stream(name, compression=None) as source, own.open_output_stream(made, compression=None) as target, own.open_output_stream(f"{made}.idx", compression=None) as index:
-                    normalise(source, target, index)
+                    normalise(source, target, index, {r["place"]: (r["to"], r["to_url"]) for r in again or []})
                 yield pa.RecordBatch.from_arrays([pa.array([made])], ["made"])
 
-    return sorted(r.made for r in _on_files(spark, names, run, "made string").collect())
+    files = written(files, "warc-files")
+    dealt = files.repartition(max(1, files.count()))
+    return sorted(r.made for r in dealt.select("name", "revisits").mapInArrow(run, "made string").collect())
 
 
 def read_indexed(spark, names: list[str], path: str) -> DataFrame:
@@ -254,17 +277,19 @@ def read_indexed(spark, names: list[str], path: str) -> DataFrame:
                             rows, size = [], 0
                 yield batch(rows)
 
-    return _on_files(spark, names, run, "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = spark.createDataFrame([(n,) for n in names], "name string")
+    schema = "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return files.repartition(max(1, len(names))).mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write ``pages`` as monolithic archives, normalise these, and read the result by its indexes."""
     spark = pages.sparkSession
     whole, split = fresh_path(spark, "warc-whole"), fresh_path(spark, "warc")
-    names = write_monolithic(pages, whole, least)
+    records = write_monolithic(pages, whole)
     fs, root = file_system(split)
     fs.create_dir(root, recursive=True)
-    made = normalise_all(spark, names, split)
+    made = normalise_all(revisits(records, least), split)
     whole_fs, whole_root = file_system(whole)
     whole_fs.delete_dir(whole_root)  # the normalised files replace them
     return read_indexed(spark, made, split)

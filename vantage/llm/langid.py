@@ -106,17 +106,21 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
     own = np.flatnonzero(~check)
     emb, w, bias = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
 
-    def dense(some: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(some), BUCKETS), np.float32)
+    def dense(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that a batch uses, and each of its rows' shares of them."""
+        used, at = np.unique(np.concatenate([rows[i][1] for i in some]), return_inverse=True)
+        x, start = np.zeros((len(some), len(used)), np.float32), 0
         for k, i in enumerate(some):
-            x[k, rows[i][1]] = rows[i][2] / rows[i][2].sum()
-        return x
+            n = len(rows[i][1])
+            x[k, at[start : start + n]] = rows[i][2] / rows[i][2].sum()
+            start += n
+        return used, x
 
     steps, step = EPOCHS * -(-len(own) // BATCH), 0
     for _ in range(EPOCHS):
         for some in np.array_split(rng.permutation(own), -(-len(own) // BATCH)):
-            x = dense(some)
-            h = x @ emb
+            used, x = dense(some)
+            h = x @ emb[used]
             g = softmax(h @ w + bias)
             g[np.arange(len(some)), y[some]] -= 1
             g /= len(some)
@@ -124,7 +128,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             back = g @ w.T
             w -= rate / 10 * (h.T @ g)
             bias -= rate / 400 * g.sum(axis=0)
-            emb -= rate * (x.T @ back)
+            emb[used] -= rate * (x.T @ back)
             step += 1
     seen = np.zeros(BUCKETS, bool)
     for i in own:

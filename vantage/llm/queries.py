@@ -37,7 +37,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.token_store import read_store, write_store
 
     store = write_store(_read(spark, sf_dir, "documents"))
-    return read_store(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_store(spark, store, with_ids=False)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,10 +140,12 @@ def _counts(tokens: DataFrame, dtype: np.dtype, vocabulary: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=vocabulary) if len(x.as_buffer()) > 4 * vocabulary else 0
-            small = b"".join(x.as_py() for x in b.column(0) if len(x.as_buffer()) <= 4 * vocabulary)
-            total += np.bincount(np.frombuffer(small, dtype), minlength=vocabulary)
+            col = b.column(0)
+            if len(col):
+                ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+                own = np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype)  # all rows' ids, one after another
+                for at in range(0, len(own), 1 << 20):
+                    total += np.bincount(own[at : at + (1 << 20)], minlength=vocabulary)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["id", "n"])
 
@@ -215,12 +217,14 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     return {"path": path, "files": made}
 
 
-def read_store(spark, store: dict) -> DataFrame:
+def read_store(spark, store: dict, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document, decoded from the files.
 
     ids are little-endian uint32; start is the number of ids of all documents before it, ids_crc32 their checksum.
+    Without ``with_ids`` the ids are decoded and summed up, but not returned.
     """
     path = store["path"]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = file_system(path)
@@ -240,14 +244,12 @@ def read_store(spark, store: dict) -> DataFrame:
                         ids = unpack_bits(data, offsets[:-1], n_ids, table).astype("<u4", copy=False).tobytes()
                         ends = np.cumsum(each)
                         texts = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), each.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(doc_ids, mask=nulls.astype(bool)), pa.array(before + ends - each), pa.array(each), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(texts, pa.binary())],
-                            ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                        )
+                        cols = [pa.array(doc_ids, mask=nulls.astype(bool)), pa.array(before + ends - each), pa.array(each), pa.array([zlib.crc32(x) for x in texts], pa.int64())]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())] if with_ids else cols, names)
                         before += n_ids
 
     files = spark.createDataFrame([(m["name"], m["before"]) for m in store["files"]], "name string, before long")
-    return files.repartition(max(1, len(store["files"]))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.repartition(max(1, len(store["files"]))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def store_size(store: dict) -> int:

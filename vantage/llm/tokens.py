@@ -88,7 +88,7 @@ class Encoder:
         if not text:
             return b""
         parts = text.split(" ") if _TWO_SPACES.search(text) is None else _CUT.split(text)
-        head = self._whole(parts[0]) if parts[0] else b""
+        head = self._piece(parts[0], self.bare, "") if parts[0] else b""
         if len(parts) == 1:
             return head
         if parts[-1] == "":  # the text ends in a space that nothing follows

@@ -1,8 +1,9 @@
 """Links between repositories: endpoints' signatures looked for in the other side's source text.
 
-Patterns are few beside source lines, but grow with endpoints. Up to ``BROADCAST_PATTERNS`` distinct ones are broadcast
-and each line is tested against them once; beyond that, patterns and lines are dealt by the pattern's rarest kind of
-key, its first three characters, which every line that contains it has among its own: an equi-join, then the same test.
+Patterns grow with endpoints, so testing every line against every pattern grows with the square of the project. Up to
+``BROADCAST_PATTERNS`` patterns are broadcast and tested. Beyond that a pattern is looked for only in lines that have
+its rarest three characters: the trigrams of all lines are counted, each pattern is keyed by that of its own which
+occurs least (one that no line has can't match), and an equi-join on it leaves the pairs that are then tested.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from vantage import model as M
 from vantage.functions.text import build_patterns, line_matches, match_kind, overlaps
 from vantage.runtime import settled
 
-BROADCAST_PATTERNS = 20_000
+BROADCAST_PATTERNS = 100
 CONFIDENCE = "medium"
 
 
@@ -39,6 +40,13 @@ def with_patterns(endpoints: DataFrame) -> DataFrame:
     return made.select("*", F.posexplode("pats").alias("pattern_ord", "pattern")).drop("pats")
 
 
+def with_trigrams(df: DataFrame, text: str) -> DataFrame:
+    """A row for each distinct run of three characters (``key``) of a text, case aside; shorter texts have none."""
+    chars = df.withColumn("_c", F.split(F.lower(text), ""))  # a column of its own: made once a row, not once a character
+    runs = chars.withColumn("_t", F.transform("_c", lambda x, i: F.concat(x, F.get("_c", i + 1), F.get("_c", i + 2))))
+    return runs.withColumn("key", F.explode(F.array_distinct(F.filter("_t", lambda x: x.isNotNull())))).drop("_c", "_t")
+
+
 def containing(lines: DataFrame, patterns: DataFrame, cap: int = M.MAX_MATCHES) -> DataFrame:
     """(repo, file, line_no, line, pattern): the first ``cap`` lines of each file that hold each pattern of its repository.
 
@@ -48,15 +56,18 @@ def containing(lines: DataFrame, patterns: DataFrame, cap: int = M.MAX_MATCHES)
     if p.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
         hit = lines.join(F.broadcast(p), "repo").where(line_matches(F.col("line"), F.col("pattern")))
     else:
-        key = F.substring(F.lower("pattern"), 1, 3)
-        short = p.where(F.length("pattern") < 3)
-        low = F.lower("line")
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, 3)))
-        keyed = lines.withColumn("key", F.explode(grams)).join(p.where(F.length("pattern") >= 3).withColumn("key", key), ["repo", "key"]).drop("key")
-        hit = keyed.where(line_matches(F.col("line"), F.col("pattern")))
-        chars = F.array_distinct(F.split(low, ""))
-        few = lines.withColumn("key", F.explode(chars)).join(short.withColumn("key", F.substring(F.lower("pattern"), 1, 1)), ["repo", "key"]).drop("key")
-        hit = hit.unionByName(few.where(line_matches(F.col("line"), F.col("pattern"))))
+        place = ["repo", "file", "line_no"]
+        cut = with_trigrams(lines, "line").select(*place, "key")  # places alone are shuffled with the keys, not texts
+        counts = cut.groupBy("repo", "key").agg(F.count("*").alias("n"))
+        own = with_trigrams(p, "pattern")
+        rare = own.join(counts, ["repo", "key"], "left").groupBy("repo", "pattern").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), F.col("key"))).alias("key"))
+        maybe = cut.join(rare, ["repo", "key"]).select(*place, "pattern").distinct()
+        hit = lines.join(maybe, place).where(line_matches(F.col("line"), F.col("pattern"))).select(*place, "line", "pattern")
+        # patterns of one or two characters: by their first
+        chars = F.array_distinct(F.split(F.lower("line"), ""))
+        short = p.where(F.length("pattern").between(1, 2)).withColumn("key", F.substring(F.lower("pattern"), 1, 1))
+        few = lines.withColumn("key", F.explode(chars)).join(short, ["repo", "key"]).drop("key")
+        hit = hit.unionByName(few.where(line_matches(F.col("line"), F.col("pattern"))).select(*place, "line", "pattern"))
     w = Window.partitionBy("repo", "file", "pattern").orderBy("line_no")
     return hit.select("repo", "file", "line_no", "line", "pattern").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
 

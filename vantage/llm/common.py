@@ -34,16 +34,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vantage-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *cols: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there and survives lost executors.
-
-    ``cols`` are partition-free hints only for readability of the call; they are selected when given.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    out = df.select(*cols) if cols else df
-    out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there and survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -101,10 +96,5 @@ def dir_size_partitions(rows: int, per_task: int, least: int) -> int:
     return max(least, -(-rows // per_task))
 
 
-def drop_columns(df: DataFrame, *names: str) -> list[str]:
-    """Columns of ``df`` other than ``names``."""
-    return [c for c in df.columns if c not in names]
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,8 @@ from vantage.llm import embed_dedup as ed
 def plain(rows, cosine=0.95):
     """rows: (vec_id, list)."""
     ok = [v is not None and len(v) > 0 and None not in v and all(map(math.isfinite, v)) and any(v) for _, v in rows]
-    unit = [np.array(v, float) / np.linalg.norm(v) if o else None for (_, v), o in zip(rows, ok, strict=True)]
+    scaled = [np.array(v, float) / np.abs(v).max() if o else None for (_, v), o in zip(rows, ok, strict=True)]  # lest squares overflow
+    unit = [v / np.linalg.norm(v) if v is not None else None for v in scaled]
     n = len(rows)
     links = [{j for j in range(n) if j != i and ok[i] and ok[j] and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= cosine} for i in range(n)]
     out, done = [], {}
@@ -54,19 +55,11 @@ def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (8, [1.0, 0.0]), (7, [2.0, -0.0]), (9, [-1.0, 0.0]), (8, [1.0, 0.0]), (None, [1.0, 0.01]), (10, [1.0]), (11, [3.0]), (None, [0.0, 5.0]), (12, [1e-200, 0.0]), (13, [1e200, 1e190]), (14, [0.0, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    want = plain([(d, v) for d, v in rows])
     got = sorted(map(tuple, ed.near_vectors(df).collect()), key=str)
-    tiny = {12: 12, 13: 13}  # numpy's own norm of these overflows or vanishes; the operator scales first
-    assert [g for g in got if g[0] not in tiny and not (g[0] in (7, 8, None) and g[1] > 1)] == [w for w in want if w[0] not in tiny and not (w[0] in (7, 8, None) and g_many(w))]
-    by = {g[0]: g for g in got if g[0] is not None}
-    assert by[12][2] == by[13][2] == by[7][2] == 7 and by[12][1] == 5
+    assert got == plain(rows) and sum(g[1] for g in got) > 20
     assert ed.near_vectors(df.limit(0)).collect() == []
 
 
-def g_many(w):
-    return w[1] > 1
-
-
 def test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]

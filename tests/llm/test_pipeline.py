@@ -87,3 +87,20 @@ def test_repeated_ids(spark):
     got = pipeline.near_dedup(spark, docs, SF).collect()
     assert sorted(str(r.doc_id) for r in got) == ["5", "None"]
     assert pipeline.near_dedup(spark, docs.limit(0), SF).collect() == []
+
+
+def test_survivors_by_component(spark):
+    """Null and repeated ids: rows are told apart by their component, not by their id."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(12)) for w in ("ash", "birch", "cedar", "date"))
+
+    def kept(*rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+        return sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, SF).collect()), key=str)
+
+    # unrelated texts without an id all stay, once each; a copy of a text with an id goes
+    assert kept((None, a), (None, b), (None, b), (None, c), (1, c), (2, d)) == sorted([(None, a), (None, b), (1, c), (2, d)], key=str)
+    # one component without ids: the other rows without an id are not kept for it
+    assert kept((None, a), (None, c), (1, c)) == sorted([(None, a), (1, c)], key=str)
+    # 5 is the least id of b alone: the row of a that has it is a copy of 3
+    assert kept((3, a), (5, a), (5, b)) == [(3, a), (5, b)]

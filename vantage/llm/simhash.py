@@ -12,7 +12,7 @@ doc_id represents it. Null doc_ids are kept and never become a component's id un
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +45,16 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the signed 64-bit view of each document's fingerprint."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, *marks): the signed 64-bit view of each document's fingerprint; marks are long columns that stay beside it."""
+    names = ["doc_id", "fp", *marks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names)
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *marks), run, ", ".join(f"{n} long" for n in names))
 
 
 def _half(h: int) -> F.Column:
@@ -183,12 +184,17 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document: 16 hex digits and the least doc_id reachable by links."""
-    prints = written(with_fingerprints(docs, id_col, text_col), "simhash")
+def rooted(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", marks: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root, *marks) of every document: root names its component also where all ids are null."""
+    prints = written(with_fingerprints(docs, id_col, text_col, marks), "simhash")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(near_links(nodes.select("fp"), distance))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_node = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_print = by_node.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id", "root", *marks)
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document: 16 hex digits and the least doc_id reachable by links."""
+    return rooted(docs, distance, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

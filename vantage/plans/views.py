@@ -36,13 +36,17 @@ VIEWS = {
                CASE kind WHEN 'A' THEN 'calls' WHEN 'N' THEN 'inherits' ELSE 'contains' END AS kind
         FROM {g_edges} WHERE scope = 'call'""",
     "u_start": "SELECT 'all' AS repo, node_id FROM {g_nodes} WHERE start_line = 1",
+    # consecutive nodes that together hold every line of a document; only the first has edges
     "x_nodes": """
-        SELECT source AS repo, 'd' || CAST(doc_id AS STRING) AS node_id,
-               CASE WHEN doc_id % 10 = 0 THEN 'main' ELSE 'f' || CAST(doc_id AS STRING) END AS name,
-               CASE doc_id % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'function' ELSE 'class' END AS kind,
-               lang || '/' || CASE WHEN doc_id % 17 = 0 THEN 'test_' WHEN doc_id % 19 = 0 THEN 'an_example_' ELSE '' END || CAST(doc_id AS STRING) || '.py' AS file,
-               1 AS start_line, CAST(1 + doc_id % 40 AS INT) AS end_line, doc_id % 3 AS n_parameters
-        FROM {documents}""",
+        SELECT d.source AS repo, 'd' || CAST(d.doc_id AS STRING) || CASE s.part WHEN 0 THEN '' ELSE '.' || CAST(s.part AS STRING) END AS node_id,
+               CASE WHEN s.part > 0 THEN 'f' || CAST(d.doc_id AS STRING) || '_' || CAST(s.part AS STRING) WHEN d.doc_id % 10 = 0 THEN 'main' ELSE 'f' || CAST(d.doc_id AS STRING) END AS name,
+               CASE d.doc_id % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'function' ELSE 'class' END AS kind,
+               d.lang || '/' || CASE WHEN d.doc_id % 17 = 0 THEN 'test_' WHEN d.doc_id % 19 = 0 THEN 'an_example_' ELSE '' END || CAST(d.doc_id AS STRING) || '.py' AS file,
+               CAST(CASE s.part WHEN 0 THEN 1 WHEN 1 THEN 2 + d.doc_id % 40 ELSE 42 + d.doc_id % 40 END AS INT) AS start_line,
+               CAST(CASE s.part WHEN 0 THEN 1 + d.doc_id % 40 WHEN 1 THEN 41 + d.doc_id % 40 ELSE 2147483647 END AS INT) AS end_line, d.doc_id % 3 AS n_parameters
+        FROM (SELECT source, doc_id, lang, length(text) - length(replace(text, chr(10), '')) AS breaks FROM {documents}) d
+        CROSS JOIN (VALUES (0), (1), (2)) AS s(part)
+        WHERE s.part = 0 OR d.breaks > d.doc_id % 40 + CASE s.part WHEN 1 THEN 0 ELSE 40 END""",
     "x_edges": """
         SELECT d.source AS repo, 'd' || CAST(d.doc_id AS STRING) AS source_id, 'd' || CAST(d.doc_id + 20 AS STRING) AS target_id, 'calls' AS kind
         FROM {documents} d WHERE d.n_chars > 900

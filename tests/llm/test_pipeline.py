@@ -13,7 +13,7 @@ import corpus_pipeline as pipeline
 from test_packing import holds
 from test_simhash import plain_components, plain_fingerprint
 
-from vantage.llm import langid, mixing, pii
+from vantage.llm import langid, mixing, pii, simhash
 from vantage.llm.tokens import Encoder, default_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -81,12 +81,15 @@ def test_run(spark):
 
 
 def test_repeated_ids(spark):
+    """Unlike texts stay whatever ids they share or lack."""
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     text = "one two three four five six seven eight"
     docs = spark.createDataFrame([(5, text, "en", "s", 1), (5, text, "en", "s", 1), (5, "quite another text that shares nothing", "en", "s", 1), (7, text, "en", "s", 1), (None, "null id here", "en", "s", 1)], schema)
     got = pipeline.near_dedup(spark, docs, SF).collect()
-    assert sorted(str(r.doc_id) for r in got) == ["5", "None"]
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", text), ("5", "quite another text that shares nothing"), ("None", "null id here")])
     assert pipeline.near_dedup(spark, docs.limit(0), SF).collect() == []
+    clash = docs.withColumnsRenamed({"lang": "_row", "source": "_FP"})
+    assert len(simhash.survivors(clash).collect()) == 3 and simhash.survivors(clash).columns == clash.columns
 
 
 def test_survivors_by_component(spark):

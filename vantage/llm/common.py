@@ -2,48 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch handed to Python; texts may be long, so batches stay small.
-BATCH_ROWS = 256
-
-_OWN: dict[str, str] = {}
-
+from vantage.runtime import discard, fresh_path, remove, settled, shared_dir, shuffle_partitions
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        key = spark.sparkContext.applicationId
-        if key not in _OWN:
-            _OWN[key] = tempfile.mkdtemp(prefix="vantage-shared-")
-        at = _OWN[key]
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/vantage-{name}-{uuid.uuid4().hex}"
+__all__ = ["components", "dir_size_partitions", "discard", "file_system", "fresh_path", "map_batches", "remove", "shared_dir", "shuffle_partitions", "unused", "written"]
 
+#: Rows that are turned into Python objects at a time; the Arrow batches that hold them are bounded in bytes by Spark
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB where it is unset).
+BATCH_ROWS = 256
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ``df`` written to the shared folder and read back: its lineage ends there and survives lost executors.
+written = settled
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or with as many underscores before it as make it no column of the frames, whatever their case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -55,10 +39,18 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with batches small enough for whole texts."""
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` whose function gets slices of at most ``rows`` rows, so few texts at a time are Python objects."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, max(1, b.num_rows), rows):
+                yield b.slice(at, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(sliced(batches))
+
+    return df.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -83,7 +75,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every node's smaller neighbours, and itself, are linked to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        nxt = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(now)
+        now = nxt
         # stable when it is a set of stars: the same edges as a round before
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(state):
@@ -94,7 +88,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def dir_size_partitions(rows: int, per_task: int, least: int) -> int:
     """How many tasks share ``rows`` rows at ``per_task`` each, at least ``least``."""
     return max(least, -(-rows // per_task))
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

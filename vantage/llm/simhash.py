@@ -12,15 +12,16 @@ doc_id represents it. Null doc_ids are kept and never become a component's id un
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vantage.llm.common import components, map_batches, written
+from vantage.llm.common import components, discard, map_batches, unused, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: A run of equal keys longer than this is cut further instead of compared directly.
@@ -45,16 +46,15 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, fp, *marks): the signed 64-bit view of each document's fingerprint; marks are long columns that stay beside it."""
-    names = ["doc_id", "fp", *marks]
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the signed 64-bit view of each document's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *marks), run, ", ".join(f"{n} long" for n in names))
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
 def _half(h: int) -> F.Column:
@@ -150,8 +150,6 @@ def _links(keyed: DataFrame, distance: int, last: bool) -> DataFrame:
         if held_k:
             yield from close(np.concatenate(held_k), np.concatenate(held_f))
 
-    spark = keyed.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32768")
     return keyed.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
 
 
@@ -163,7 +161,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # level 1: half h under one of its variants; the other half is still unused
     level = halves[0].withColumn("key", F.col("var")).unionByName(halves[1].withColumn("key", F.col("var") + F.lit(1 << 40)))
     found = written(_links(level, distance, False), "links")
-    links = found.where("key is null").select("a", "b")
+    links, used = found.where("key is null").select("a", "b"), [found]
     for bits in (16, 8):
         hot = found.where("key is not null").select(F.col("a").alias("fp"), F.col("key").alias("outer"))
         if hot.isEmpty():
@@ -180,21 +178,51 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         mixed = F.xxhash64("outer", "sub", "q").bitwiseAND(F.lit(~(3 << 40)))
         keyed = parts.select("fp", mixed.bitwiseOR(F.shiftleft(_bit(40), 40)).bitwiseOR(F.shiftleft(F.col("q").cast("long"), 41)).alias("key"))
         found = written(_links(keyed, distance, bits == 8), "links")
+        used.append(found)
         links = links.unionByName(found.where("key is null").select("a", "b"))
-    return links.distinct()
+    every = written(links.distinct(), "links")
+    discard(*used)
+    return every
 
 
-def rooted(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", marks: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, fp, component_id, root, *marks) of every document: root names its component also where all ids are null."""
-    prints = written(with_fingerprints(docs, id_col, text_col, marks), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = components(near_links(nodes.select("fp"), distance))
-    by_node = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_print = by_node.join(least, "root").select("fp", "component_id", "root")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id", "root", *marks)
+def roots(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root) of different fingerprints: the root names the component that the links join."""
+    links = near_links(fps, distance)
+    found = components(links)
+    discard(links)
+    return fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document: 16 hex digits and the least doc_id reachable by links."""
-    return rooted(docs, distance, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = written(with_fingerprints(docs, id_col, text_col), "simhash")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    by_node = nodes.join(roots(nodes.select("fp"), distance), "fp")
+    least = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_print = by_node.join(least, "root").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates, with all columns of ``docs``: a row of its least doc_id.
+
+    Rows are told apart by a number of their own, never by their id, so unlike texts stay whatever ids they share or
+    lack. Null ids come after all others; of rows with equal ids any one stays. Columns may have any names.
+    """
+    row, fp = unused("_row", docs), unused("_fp", docs)
+    at, names = docs.columns.index(text_col), docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(x) for x in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*names, fp])
+
+    marked = written(map_batches(docs, run, schema).withColumn(row, F.monotonically_increasing_id()), "simhash")
+    own = marked.select(F.col(row).alias("row"), F.col(fp).alias("fp"), F.col(id_col).cast("long").alias("doc_id"))
+    # one row stands for each fingerprint; the order of a struct puts rows with an id first
+    nodes = written(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")), "nodes")
+    first = nodes.join(roots(nodes.select("fp"), distance), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    # rows are as many as documents: never broadcast, so that every size runs the same plan
+    kept = first.select(F.col("first.row").alias(row)).hint("merge")
+    return marked.join(kept, row, "left_semi").select(names)

@@ -36,8 +36,9 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of texts as little-endian bytes, 2 a token where the vocabulary allows it, else 4.
 
-    A null text has no ids. Special tokens' strings in a text are ordinary text. The tokenizer must be byte-level BPE
-    whose splitting pattern takes a run of letters, with the space before it, as one pre-token.
+    A null text has no ids. The strings of added tokens, such as an end of text, become their ids as in the library,
+    whose splitting they change; texts that hold one are encoded whole. The tokenizer must be byte-level BPE whose
+    splitting pattern takes a run of letters, with the space before it, as one pre-token.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.model = self.tok.model
         self.letters = _byte_letters()
         self.space = self.letters[32]
@@ -87,6 +88,8 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return self._whole(text)
         parts = text.split(" ") if _TWO_SPACES.search(text) is None else _CUT.split(text)
         head = self._piece(parts[0], self.bare, "") if parts[0] else b""
         if len(parts) == 1:

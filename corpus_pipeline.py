@@ -14,7 +14,7 @@ from vantage.llm.langid import identify
 from vantage.llm.mixing import weigh
 from vantage.llm.packing import pack_documents
 from vantage.llm.pii import replace
-from vantage.llm.simhash import rooted
+from vantage.llm.simhash import survivors
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,29 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays: a row of its least doc_id (of repeated ids, the least text).
-
-    A component is named by its least doc_id, so components that share that id are one here; components whose ids are
-    all null are told apart by their roots. Rows are found again by doc_id and two hashes of the text, never by doc_id
-    alone: a repeated or null id may be in several components.
-    """
-    marks = {"_h": F.xxhash64("text"), "_k": F.xxhash64(F.lit("near"), "text")}
-    every = written(rooted(docs.withColumns(marks), marks=list(marks)), "components")
-    group = ["_c", "_r"]
-    found = every.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), *(F.col(m).alias(f"{m}2") for m in marks), F.col("component_id").alias("_c"), F.expr("CASE WHEN component_id IS NULL THEN root END").alias("_r"))
-    again = found.groupBy(*group).count().where("count > 1")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")) & (F.col("_k") == F.col("_k2"))
-    same = F.col("_c").eqNullSafe(F.col("_c2")) & F.col("_r").eqNullSafe(F.col("_r2"))
-    again = written(again.select(F.col("_c").alias("_c2"), F.col("_r").alias("_r2")), "again")
-    # ids are as many as documents: never broadcast, so that every size runs the same plan
-    own = docs.withColumns(marks)
-    once = own.join(found.join(again.hint("merge"), same, "left_anti").hint("merge"), match, "left_semi").select(docs.columns)
-    if again.isEmpty():
-        return once
-    # several rows of a group's least id: one of them stays
-    many = own.join(found.join(again.hint("merge"), same, "left_semi").distinct().hint("merge"), match)
-    first = many.groupBy(*group).agg(F.min(F.struct("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row"))
-    return once.unionByName(first.select("_row.*").select(docs.columns))
+    """One document of each component of near-duplicates stays: a row of its least doc_id. Ids may repeat or be null."""
+    return survivors(docs).select(docs.columns)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

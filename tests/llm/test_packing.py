@@ -4,9 +4,10 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from vantage.llm import packing as p
-from vantage.llm.tokens import Encoder, default_tokenizer
+from vantage.llm.tokens import default_tokenizer
 
 
 def holds(rows, capacity):
@@ -29,7 +30,8 @@ def test_operators_keep_every_item(sizes, seed):
     rng = random.Random(seed)
     a = p.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 50)
     b = p.best_fit(sizes, rng.sample(range(len(sizes)), len(sizes)), 50)
-    for s in (a, b, p.crossover(sizes, a, b, 50, rng), p.mutate(sizes, a, 50, rng), p.evolve(sizes, [], 50, seed), p.evolve(sizes, [b], 50, seed)):
+    c = p.fill_exactly(sizes, rng.sample(range(len(sizes)), len(sizes)), 50)
+    for s in (a, b, c, p.crossover(sizes, a, b, 50, rng), p.mutate(sizes, a, 50, rng), p.evolve(sizes, [], 50, seed), p.evolve(sizes, [b], 50, seed)):
         assert sorted(i for x in s for i in x) == list(range(len(sizes)))
         assert all(sum(sizes[i] for i in x) <= 50 for x in s)
     assert len(p.evolve(sizes, [], 50, seed)) <= len(a)
@@ -62,12 +64,12 @@ def test_pack_rounds(spark):
 
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    rows += [(10**6, None), (10**6, None), (None, "a b"), (10**6 + 1, ""), (10**6 + 2, "word " * 10_000), (10**6 + 3, "x" * 2000)]
+    rows += [(10**6, None), (10**6, None), (None, "a b"), (10**6 + 1, ""), (10**6 + 2, "word " * 10_000), (10**6 + 3, "x" * 2000), (10**6 + 4, "a <|endoftext|> b"), (10**6 + 5, "a  <|endoftext|>\n <|endoftext|>c")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, piece string")
     got = p.pack_documents(docs).collect()
-    e, want = Encoder(default_tokenizer()), []
+    library, want = Tokenizer.from_file(default_tokenizer()), []
     for d, t in rows:
-        ids = np.frombuffer(e._whole(t or "") + b"\0\0", "<u2").astype("<u4")
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         first = len(ids) if len(ids) <= 2048 else len(ids) % 2048 or 2048
         at = k = 0
         while at < len(ids):
@@ -78,3 +80,33 @@ def test_documents(spark):
     assert len(got) == len(want)
     total = sum(r.length for r in got)
     assert holds([(r.sequence_id, r.offset, r.length) for r in got], 2048) <= -(-total // 2048) + 1
+
+
+def test_production_parameters(monkeypatch):
+    """Where best fit is not at the bound, the islands as they run beat it, and every island crosses over."""
+    calls = []
+    plain = p.crossover
+    monkeypatch.setattr(p, "crossover", lambda *a: calls.append(1) or plain(*a))
+    better, more = 0, 0
+    for seed in range(8):
+        rng = random.Random(seed)
+        sizes = [rng.randint(300, 1300) for _ in range(1024)]
+        down = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        best = min(len(w(sizes, down, p.CAPACITY)) for w in (p.best_fit, p.fill_exactly))
+        elites = [p.evolve(sizes, [], p.CAPACITY, seed, island=k) for k in range(p.ISLANDS)]
+        assert elites[0] != elites[1]
+        last = [p.evolve(sizes, [elites[k], elites[k - 1]], p.CAPACITY, 99 + seed, island=k) for k in range(p.ISLANDS)]
+        better += min(map(len, last)) < best
+        more += min(map(len, last)) < min(map(len, elites)) or p.fitness(sizes, max(last, key=lambda s: p.fitness(sizes, s, p.CAPACITY)), p.CAPACITY) > max(p.fitness(sizes, s, p.CAPACITY) for s in elites)
+    assert better == 8 and more >= 4
+    assert len(calls) >= 8 * 2 * p.ISLANDS
+    easy = [random.Random(1).randint(1, 60) for _ in range(500)]  # best fit is at the bound: one generation crosses over
+    calls.clear()
+    assert len(p.evolve(easy, [], p.CAPACITY, 3)) == -(-sum(easy) // p.CAPACITY) and calls
+
+
+def test_pack_clashing_columns(spark):
+    df = spark.createDataFrame([(i, 100 + i, "x", "y", "z") for i in range(50)], "id long, length int, item string, _item string, sequence_id string")
+    got = p.pack(df, 1000, 20).collect()
+    assert sorted((r.id, r.length, r.item, r._item) for r in got) == [(i, 100 + i, "x", "y") for i in range(50)]
+    holds([(r.sequence_id, r.offset, r.length) for r in got], 1000)

@@ -36,8 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.token_store import read_store, write_store
 
-    store = write_store(_read(spark, sf_dir, "documents"))
-    return read_store(spark, store, with_ids=False)
+    return read_store(spark, write_store(_read(spark, sf_dir, "documents")), with_ids=False)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +87,9 @@ _ORACLES = {
         SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS component_id,
           e.vec_id = (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS kept FROM embeddings e""",
     "op8_warc": f"""
-        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), d AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), d AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first, row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS nth FROM p)
         SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
-          CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+          CASE WHEN nth = 1 OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first END AS refers_to FROM d""",
     "op10_chat": """
         WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth,
             EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = c.conv_id AND b.role = 'user' AND b.turn = c.turn - 2) AS follows FROM conversations c WHERE role = 'user'),

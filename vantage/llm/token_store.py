@@ -9,12 +9,15 @@ order (nulls first), one file per range of doc_ids, in segments of at most ``SEG
 
 All integers are little-endian. Blocks of ``BLOCK`` ids start at recorded bit offsets, so each can be decoded alone;
 decoding looks ``MAX_BITS`` bits up in a table and works on all blocks of a segment in lock-step.
-A null text is empty; every document ends with id 0; an empty table gives no file and no row.
+Beside the files lie the code lengths and a Parquet table ``manifest`` with a row for each file, so a store is opened by
+its folder alone, and nothing that grows with the corpus passes through the driver.
+A null text is empty; every document ends with id 0; an empty table gives no file and no row. Rows repeat freely, and
+other columns are ignored. A text of any length is one document: it is held whole, with its ids, by the task that
+encodes it, and may make a segment longer than ``SEGMENT``.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import dir_size_partitions, file_system, fresh_path, map_batches, shuffle_partitions, written
+from vantage.llm.common import dir_size_partitions, discard, file_system, fresh_path, map_batches, shuffle_partitions, written
 from vantage.llm.tokens import Encoder, default_tokenizer, encoder
+from vantage.runtime import running
 
 MAGIC = b"VHUFF01\n"
 MAX_BITS, BLOCK, SEGMENT = 20, 256, 1 << 20
@@ -155,10 +159,13 @@ def _counts(tokens: DataFrame, dtype: np.dtype, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Encode whole texts and write the files; returns what ``read_store`` needs: the folder and a list of its files.
+_MANIFEST = "part long, name string, documents long, ids long, before long"
 
-    The list has a row for each file (path, documents, ids, ids before it), so it is as long as there are files.
+
+def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Encode whole texts and write the files; returns the store's folder, which is all that ``read_store`` needs.
+
+    The manifest has (part, name, documents, ids, before): before is the number of ids in the files before.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
@@ -209,21 +216,18 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     parts = dir_size_partitions(int(counts.sum()), FILE_IDS, shuffle_partitions(spark))
     order = F.xxhash64("ids")  # a doc_id that very many rows repeat is dealt out over files too
     ranged = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), order).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), order)
-    made = map_batches(ranged.select("doc_id", "ids"), run, "part long, name string, documents long, ids long").toArrow().sort_by("part").to_pylist()
-    before = 0
-    for m in made:
-        m["before"] = before
-        before += m["ids"]
-    return {"path": path, "files": made}
+    made = written(map_batches(ranged.select("doc_id", "ids"), run, "part long, name string, documents long, ids long"), "files")
+    running(made, ["part"], "before", F.col("ids")).write.parquet(f"{path}/manifest")
+    discard(tokens, made)
+    return path
 
 
-def read_store(spark, store: dict, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, decoded from the files.
+def read_store(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, decoded from the files of the folder ``path``.
 
     ids are little-endian uint32; start is the number of ids of all documents before it, ids_crc32 their checksum.
     Without ``with_ids`` the ids are decoded and summed up, but not returned.
     """
-    path = store["path"]
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +252,14 @@ def read_store(spark, store: dict, with_ids: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())] if with_ids else cols, names)
                         before += n_ids
 
-    files = spark.createDataFrame([(m["name"], m["before"]) for m in store["files"]], "name string, before long")
-    return files.repartition(max(1, len(store["files"]))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    files = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").select("name", "before")
+    tasks = max(1, min(files.count(), 16 * shuffle_partitions(spark)))  # a task reads its files one after another
+    return files.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def store_size(store: dict) -> int:
-    """Bytes of all files of a store."""
-    fs, root = file_system(store["path"])
+def store_size(path: str) -> int:
+    """Bytes of all token files of a store."""
+    fs, root = file_system(path)
     from pyarrow.fs import FileSelector
 
-    return sum(f.size for f in fs.get_file_info(FileSelector(root)) if os.path.basename(f.path) != "")
+    return sum(f.size for f in fs.get_file_info(FileSelector(root)) if f.path.endswith(".vhuff"))

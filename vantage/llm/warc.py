@@ -7,9 +7,10 @@ revisits, and writes a sidecar index with a JSON line for each record: offset, l
 ``CHUNK``; writer and reader hold one record. Pages aren't shuffled: which records repeat is found from narrow rows.
 
 Equal payloads of at least ``least`` bytes are stored once: by the record of the smallest page_id (of equal ids, the
-smallest url); the others become revisit records that refer to it. Rows equal in page_id, url and payload are each a
-response. Null html is an empty payload; a null url has no target URI; a null page_id is never referred to (if a
-payload has only null page_ids, all of its records are responses). An empty table gives no archive and no row.
+smallest url; of rows equal in both, any one); all others become revisit records that refer to it. Null html is an
+empty payload; a null url has no target URI; a null page_id is never referred to (if a payload has only null page_ids,
+all of its records are responses). Other columns are ignored. An empty table gives no archive and no row.
+The normalised files are listed in a Parquet table ``manifest`` beside them, never in the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import file_system, fresh_path, map_batches, written
+from vantage.llm.common import discard, file_system, fresh_path, map_batches, remove, shuffle_partitions, written
 
 CHUNK, ARCHIVE = 1 << 20, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -94,38 +95,65 @@ def inflated(source: BinaryIO) -> Iterator[bytes]:
         yield out
 
 
-def _records(stream: Iterator[bytes]) -> Iterator[tuple[bytes, Iterator[bytes]]]:
-    """Each record's head, and its body in chunks, which must be used up before the next."""
-    held = b""
+class _Held:
+    """What a stream has given and a reader hasn't used: used bytes are passed by an offset, not cut off one by one."""
 
-    def more() -> bool:
-        nonlocal held
-        got = next(stream, b"")
-        held += got
+    def __init__(self, stream: Iterator[bytes]) -> None:
+        self.stream, self.data, self.at = stream, b"", 0
+
+    def more(self) -> bool:
+        got = next(self.stream, b"")
+        if got:
+            self.data, self.at = self.data[self.at :] + got, 0
         return bool(got)
 
-    while True:
-        while not held.lstrip(b"\r\n"):
-            held = b""
-            if not more():
-                return
-        held = held.lstrip(b"\r\n")
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            if not more():
-                raise ValueError("a record's head is cut off")
-        head, held = held[: end + 4], held[end + 4 :]
-        left = int(parse_head(head)["content-length"])
-
-        def body() -> Iterator[bytes]:
-            nonlocal held, left
-            while left:
-                if not held and not more():
-                    raise ValueError("a record's body is cut off")
-                part, held = held[:left], held[left:]
-                left -= len(part)
-                yield part
-
-        rest = body()
+    def skip_blank(self) -> bool:
+        """Pass line ends; whether anything follows."""
+        while True:
+            while self.at < len(self.data) and self.data[self.at] in b"\r\n":
+                self.at += 1
+            if self.at < len(self.data):
+                return True
+            if not self.more():
+                return False
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes up to and with ``mark``."""
+        looked = self.at
+        while (end := self.data.find(mark, looked)) < 0:
+            looked = max(0, len(self.data) - self.at - len(mark) + 1)
+            if not self.more():
+                return None
+        found = self.data[self.at : end + len(mark)]
+        self.at = end + len(mark)
+        return found
+
+    def take(self, most: int) -> bytes:
+        """Some of the next bytes, at most ``most``; none at the end."""
+        if self.at == len(self.data) and not self.more():
+            return b""
+        part = self.data[self.at : self.at + most]
+        self.at += len(part)
+        return part
+
+
+def _records(stream: Iterator[bytes]) -> Iterator[tuple[bytes, Iterator[bytes]]]:
+    """Each record's head, and its body in chunks, which must be used up before the next."""
+    held = _Held(stream)
+
+    def body(left: int) -> Iterator[bytes]:
+        while left:
+            part = held.take(left)
+            if not part:
+                raise ValueError("a record's body is cut off")
+            left -= len(part)
+            yield part
+
+    while held.skip_blank():
+        head = held.until(b"\r\n\r\n")
+        if head is None:
+            raise ValueError("a record's head is cut off")
+        rest = body(int(parse_head(head)["content-length"]))
         yield head, rest
         for _ in rest:
             pass
@@ -208,18 +236,17 @@ def revisits(records: DataFrame, least: int = 0) -> DataFrame:
 
     Narrow rows alone are joined; a file's list is as long as an archive has records.
     """
-    first = records.where("page_id is not null").groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
+    key = F.struct("page_id", "url", "name", "place")  # of equal rows one alone is the first
+    first = records.where("page_id is not null").groupBy("digest").agg(F.min(key).alias("first"))
     joined = records.join(first, "digest")
-    same = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    same = (F.col("name") == F.col("first.name")) & (F.col("place") == F.col("first.place"))
     again = joined.where(~same & (F.col("payload_bytes") >= least)).select("name", F.struct("place", F.col("first.page_id").alias("to"), F.col("first.url").alias("to_url")).alias("r"))
     return records.select("name").distinct().join(again.groupBy("name").agg(F.collect_list("r").alias("revisits")), "name", "left")
 
 
-def normalise_all(files: DataFrame, path: str) -> list[str]:
-    """Normalise the files of ``revisits`` into the folder ``path``; returns the new files, beside which lie their indexes (.idx).
-
-    Each file is a task of its own.
-    """
+def normalise_all(files: DataFrame, path: str) -> None:
+    """Normalise the files of ``revisits`` into the folder ``path``: each with its index (.idx) beside it, all listed in ``manifest``."""
+    spark = files.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = file_system(path)
@@ -231,12 +258,13 @@ def normalise_all(files: DataFrame, path: str) -> list[str]:
                 yield pa.RecordBatch.from_arrays([pa.array([made])], ["made"])
 
     files = written(files, "warc-files")
-    dealt = files.repartition(max(1, files.count()))
-    return sorted(r.made for r in dealt.select("name", "revisits").mapInArrow(run, "made string").collect())
+    dealt = files.repartition(max(1, min(files.count(), 16 * shuffle_partitions(spark))))
+    dealt.select("name", "revisits").mapInArrow(run, "made string").write.parquet(f"{path}/manifest")
+    discard(files)
 
 
-def read_indexed(spark, names: list[str], path: str) -> DataFrame:
-    """A row for each record of normalised files: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+def read_indexed(spark, path: str) -> DataFrame:
+    """A row for each record of a folder's normalised files: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
     payload_bytes and payload_digest are those of the full payload; a revisit has no payload of its own. A response whose
     payload doesn't have the digest that its head states is an error.
@@ -277,9 +305,9 @@ def read_indexed(spark, names: list[str], path: str) -> DataFrame:
                             rows, size = [], 0
                 yield batch(rows)
 
-    files = spark.createDataFrame([(n,) for n in names], "name string")
+    files = spark.read.schema("made string").parquet(f"{path}/manifest")
     schema = "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.repartition(max(1, len(names))).mapInArrow(run, schema)
+    return files.repartition(max(1, min(files.count(), 16 * shuffle_partitions(spark)))).mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -289,7 +317,7 @@ def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     records = write_monolithic(pages, whole)
     fs, root = file_system(split)
     fs.create_dir(root, recursive=True)
-    made = normalise_all(revisits(records, least), split)
-    whole_fs, whole_root = file_system(whole)
-    whole_fs.delete_dir(whole_root)  # the normalised files replace them
-    return read_indexed(spark, made, split)
+    normalise_all(revisits(records, least), split)
+    remove(spark, whole)  # the normalised files replace them
+    discard(records)
+    return read_indexed(spark, split)

@@ -6,40 +6,50 @@ linear softmax. The model is trained by stochastic gradient descent in numpy on
 (about ``PER_LANGUAGE`` of each language, those of least hash) and on short windows of them. A part of the sample that
 training doesn't see sets a temperature and the least score at which a prediction is accepted.
 
-A prediction uses a document's whole text and nothing else. Texts that are null or have no letter are ``und`` with
-score 0 and are rejected; so is everything if no language could be learned. Documents with a null doc_id or language
-are never learned from.
+A prediction uses a document's whole text and nothing else. Texts that are null or have no letter (a character of a
+Unicode category L) are ``und`` with score 0 and are rejected; so is everything if no language could be learned.
+Documents with a null doc_id or language are never learned from. Any number of languages can be learned: each gets an
+equal part of the sample of ``SAMPLE`` documents, in expectation, so the sample alone bounds what the driver holds.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import map_batches, written
+from vantage.llm.common import discard, map_batches, written
 
 BUCKETS, DIM, NGRAMS = 1 << 15, 16, (1, 2, 3, 4)
-PER_LANGUAGE, LANGUAGES, WINDOWS = 300, 256, 3
-#: Documents of the whole sample, about, however many the languages: some tens of MB of counts in the driver.
-SAMPLE = 4800
+PER_LANGUAGE, WINDOWS = 300, 3
+#: Documents of the whole sample, about, however many the languages, and the buckets of a training text (its commonest):
+#: together at most 160 MB of counts in the driver. Predictions have no such bounds.
+SAMPLE, TEXT_BUCKETS = 4800, 4096
 EPOCHS, RATE, BATCH = 12, 40.0, 32
 #: Of validation texts, the share that may be rejected; a score over MOST is never rejected.
 REJECTS, MOST = 0.002, 0.5
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _CHUNK = 1 << 20
 
 
+@lru_cache(maxsize=1)
+def _not_letters() -> re.Pattern:
+    """Runs of characters outside the categories L: \\w also has numbers that are no decimal digits, such as fractions."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{numbers}]+")
+
+
 def cleaned(text: str | None) -> bytes:
     """Lower-cased words with single spaces between and around them; empty if there is no letter."""
-    words = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    words = _not_letters().sub(" ", text.lower()).strip() if text else ""
     return f" {words} ".encode("utf-8", "surrogatepass") if words else b""
 
 
@@ -146,21 +156,25 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(doc_id, text, lang): of each of the ``LANGUAGES`` commonest languages, about ``per_language`` rows of least doc_id hash.
+    """(doc_id, text, lang): of each language about ``per_language`` rows of least hash, fewer where languages are many.
 
-    A language's share of hashes follows from its number of rows, so nothing is ranked or gathered.
+    A language's share of hashes follows from its number of rows, so nothing is ranked or gathered. Rows equal in all
+    three columns count once.
     """
-    known = docs.where("lang is not null and doc_id is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    chosen, n = F.lit(False), min(per_language, SAMPLE // max(1, len(counts)))
-    u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r.lang) & (u < n / r["count"]))
-    return known.where(chosen).select("doc_id", "text", "lang")
+    known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = counts.agg(F.count("*").alias("languages"))
+    share = F.least(F.lit(float(per_language)), F.lit(float(SAMPLE)) / F.col("languages")) / F.col("rows")
+    table = counts.crossJoin(languages).select(F.col("lang").alias("_l"), share.alias("_share"))  # a row each, by one row
+    u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return known.join(table, F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("doc_id", "text", "lang").dropDuplicates()
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Train on labelled documents (doc_id, text, lang). What reaches the driver is bounded by the sample's parameters."""
+    """Train on labelled documents (doc_id, text, lang). What reaches the driver is bounded by the sample's parameters.
+
+    A sample of more than twice its expected size is an error; it is never cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,12 +192,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 for k, own in enumerate(texts):
                     counts = sum((np.bincount(s, minlength=BUCKETS) for s in subwords(own)), np.zeros(BUCKETS, np.int64))
                     used = np.flatnonzero(counts)
+                    if len(used) > TEXT_BUCKETS:
+                        used = np.sort(used[np.argsort(-counts[used], kind="stable")[:TEXT_BUCKETS]])
                     out.append((d, k, lang, used.astype("<u4").tobytes(), counts[used].astype("<f4").tobytes()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "k", "lang", "ids", "counts"])
 
-    most = 2 * (WINDOWS + 1) * SAMPLE  # bounds repeated doc_ids; as many rows are never expected
-    rows = written(map_batches(sample(docs, per_language), run, "doc_id long, k int, lang string, ids binary, counts binary"), "langid").limit(most).toArrow()
+    table = written(map_batches(sample(docs, per_language), run, "doc_id long, k int, lang string, ids binary, counts binary"), "langid")
+    if (found := table.count()) > 2 * (WINDOWS + 1) * SAMPLE:
+        raise ValueError(f"the sample has {found} texts, over twice as many as {SAMPLE} documents have")
+    rows = table.toArrow()
+    discard(table)
     rows = rows.sort_by([("k", "ascending"), ("lang", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")]) if rows.num_rows else rows
     return train([(r["lang"], np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["counts"], "<f4")) for r in rows.to_pylist()])
 
@@ -191,7 +210,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred, score and rejected (which replace columns of these names).
 
-    The model that every task gets is bounded by ``BUCKETS`` and ``LANGUAGES``.
+    The model that every task gets is bounded by ``BUCKETS`` and the languages in the sample.
     """
     from pyspark.sql import types as T
 

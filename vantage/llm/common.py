@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vantage.runtime import discard, fresh_path, remove, settled, shared_dir, shuffle_partitions
 
-__all__ = ["components", "dir_size_partitions", "discard", "file_system", "fresh_path", "map_batches", "remove", "shared_dir", "shuffle_partitions", "unused", "written"]
+__all__ = ["components", "dir_size_partitions", "discard", "file_system", "fresh_path", "map_batches", "own_names", "plain_names", "remove", "shared_dir", "shuffle_partitions", "unused", "written"]
 
 #: Rows that are turned into Python objects at a time; the Arrow batches that hold them are bounded in bytes by Spark
 #: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB where it is unset).
@@ -30,6 +30,16 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ... in order, so that no name of its own meets one of an operator's."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def own_names(df: DataFrame) -> list[Column]:
+    """The columns of ``plain_names(df)`` under their own names again."""
+    return [F.col(f"c{i}").alias(name) for i, name in enumerate(df.columns)]
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """A pyarrow file system and the path in it, for a URI of any scheme pyarrow knows or a plain path."""
     if "://" in path or path.startswith("file:"):

@@ -48,7 +48,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.mixing import weigh
 
-    return weigh(_read(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "p", "kept")
+    return weigh(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), with_text=False).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "p", "kept")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

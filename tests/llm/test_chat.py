@@ -125,3 +125,38 @@ def test_table(spark):
     linked = sorted((r.conv_id, r.turn) for r in got if r.status == "linked")
     assert linked == sorted({u for u in users if (u[0], u[1] + 1) in answers})
     assert {r.status for r in got} <= {"linked", "no_result", "orphan_result", "repeated_call", "repeated_result"}
+
+
+def test_numbers_and_bad_arguments():
+    assert [chat.canonical(x) for x in (1e-05, 1e-6, 1e-7, 123.5, 1e21, 1.5e300, -0.0, -2.50, 100.0, 1e20)] == ["0.00001", "0.000001", "1e-7", "123.5", "1e+21", "1.5e+300", "0", "-2.5", "100", "100000000000000000000"]
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}, "l": {"type": "array", "items": {"type": "string"}, "minItems": 2}, "prompt": {"type": "string"}}}
+    assert chat.read_arguments('{"prompt":"\\ud800"}', schema)[0] is None
+    assert chat.read_arguments('{"n":' + "9" * 400 + "}", schema)[2] == []
+    assert chat.read_arguments('{"n":1e999}', schema)[0] is None
+    assert chat.read_arguments('{"n":' + "9" * 9000 + "}", schema)[0] is None
+    assert chat.read_arguments("[" * 100_000, schema)[0] is None
+    assert chat.read_arguments('{"l":[{"$ref":"a"},"b"]}', schema) == ('{"l":[{"$ref":"a"},"b"]}', ["a"], [])
+    assert chat.read_arguments('{"l":[{"$ref":"a"}]}', schema)[2] and chat.read_arguments('{"l":[{"$ref":"a"},3]}', schema)[2]
+
+
+def test_tool_call_message_is_no_reply(spark):
+    df = spark.createDataFrame([(1, 0, "assistant", '<tool_call>{"id":"q","name":"reply","arguments":{"prompt":"\\ud800"}}</tool_call>')], "conv_id long, turn long, role string, text string")
+    assert [(r.call_id, r.turn) for r in chat.link_conversations(df).collect()] == [("q", 0)]
+
+
+def test_long_waits_and_cycles(spark):
+    """Waits longer than the rounds, and cycles with what hangs on them, end in the same places as a plain recursion."""
+    n, calls = 45, []
+    for i in range(n):  # each waits for the next: only the last stands at its own place
+        calls.append((1, i, 0, f"c{i}", "f", json.dumps({"x": {"$ref": f"c{i + 1}"}} if i + 1 < n else {})))
+    calls += [(2, 0, 0, "a", "f", '{"x":{"$ref":"b"}}'), (2, 1, 0, "b", "f", '{"x":{"$ref":"a"}}'), (2, 2, 0, "d", "f", '{"x":{"$ref":"b"}}'), (2, 3, 0, "e", "f", "{}"), (2, 4, 0, "s", "f", '{"x":{"$ref":"s"}}')]
+    calls += [(3, 0, 0, "p", "f", '{"x":{"$ref":"q"}}'), (3, 5, 0, "q", "f", "{}"), (3, 2, 0, "r", "f", '{"x":{"$ref":"p"}}')]
+    a = spark.createDataFrame(calls, "conv_id long, turn long, place int, call_id string, name string, arguments string")
+    b = spark.createDataFrame([], "conv_id long, turn long, place int, call_id string, content string")
+    got = {(r.conv_id, r.call_id): r for r in chat.link(a, b, {"f": {}}).collect()}
+    for i in range(n):
+        r = got[1, f"c{i}"]
+        assert (r.anchor_turn, r.anchor_place, r.level, r.status) == (n - 1, 0, n - 1 - i, "no_result")
+    assert {k[1] for k, r in got.items() if r.status == "cycle"} == {"a", "b", "d", "s"}
+    assert all(got[2, c].anchor_turn == got[2, c].turn and got[2, c].level == 0 for c in "abdes")
+    assert [(got[3, c].anchor_turn, got[3, c].level) for c in "qpr"] == [(5, 0), (5, 1), (5, 2)]

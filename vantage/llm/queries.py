@@ -90,21 +90,33 @@ _ORACLES = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), d AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first, row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS nth FROM p)
         SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
           CASE WHEN nth = 1 OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first END AS refers_to FROM d""",
+    # calls of reply stand after what they refer to; a review waits for the later of its two turns, one level behind it
     "op10_chat": """
         WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth,
             EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = c.conv_id AND b.role = 'user' AND b.turn = c.turn - 2) AS follows FROM conversations c WHERE role = 'user'),
-          r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE role = 'assistant'),
+          r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE role = 'assistant' AND coalesce(text, '') NOT LIKE '%<tool_call>%'),
           ids AS (SELECT DISTINCT conv_id, turn FROM u),
+          calls AS (
+            SELECT conv_id, turn, 0 AS place, 'turn-' || CAST(turn AS VARCHAR) AS call_id, 'reply' AS name, nth, text AS prompt, follows FROM u
+            UNION ALL SELECT a.conv_id, a.turn, 1, 'review-' || CAST(a.turn AS VARCHAR), 'review', 1, NULL, false FROM ids a JOIN ids b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2),
+          needs AS (
+            SELECT conv_id, call_id, turn - 2 AS on_turn, 0 AS nr FROM calls WHERE name = 'reply' AND follows AND nth = 1
+            UNION ALL SELECT conv_id, call_id, turn, 0 FROM calls WHERE name = 'review' UNION ALL SELECT conv_id, call_id, turn + 2, 1 FROM calls WHERE name = 'review'),
+          last AS (SELECT n.conv_id, n.call_id, max(n.on_turn) AS on_turn FROM needs n GROUP BY n.conv_id, n.call_id),
+          placed AS (
+            SELECT c.*, l.on_turn IS NOT NULL AND nth = 1 AND (l.on_turn > c.turn OR (l.on_turn = c.turn AND c.place = 0)) AS waits, l.on_turn
+            FROM calls c LEFT JOIN last l ON l.conv_id = c.conv_id AND l.call_id = c.call_id),
           every AS (
-            SELECT u.conv_id, u.turn, u.turn AS id_turn, 'reply' AS name, CASE WHEN u.nth > 1 THEN 'repeated_call' WHEN u.text = '' THEN 'bad_arguments' WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-              r.turn AS result_turn, '{"after":' || CASE WHEN follows THEN '{"$ref":"turn-' || CAST(u.turn - 2 AS VARCHAR) || '"},' ELSE '' END AS head, u.text AS prompt, r.text AS answer, follows
-            FROM u LEFT JOIN r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 AND r.nth = 1 AND u.nth = 1
-            UNION ALL SELECT r.conv_id, r.turn, r.turn - 1, NULL, CASE WHEN i.turn IS NULL THEN 'orphan_result' ELSE 'repeated_result' END, r.turn, NULL, NULL, r.text, false
+            SELECT p.conv_id, p.turn, p.place, p.call_id, p.name, CASE WHEN p.nth > 1 THEN 'repeated_call' WHEN p.prompt = '' THEN 'bad_arguments' WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+              CASE WHEN p.waits THEN p.on_turn ELSE p.turn END AS anchor_turn, CASE WHEN p.waits THEN 0 ELSE p.place END AS anchor_place, CASE WHEN p.waits THEN 1 ELSE 0 END AS level, r.turn AS result_turn,
+              CASE WHEN p.name = 'review' THEN '{"turns":[{"$ref":"turn-' || CAST(p.turn AS VARCHAR) || '"},{"$ref":"turn-' || CAST(p.turn + 2 AS VARCHAR) || '"}]}'
+                ELSE '{' || CASE WHEN p.follows THEN '"after":{"$ref":"turn-' || CAST(p.turn - 2 AS VARCHAR) || '"},' ELSE '' END || '"prompt":' || CAST(to_json(p.prompt) AS VARCHAR) || '}' END AS args, r.text AS answer
+            FROM placed p LEFT JOIN r ON p.name = 'reply' AND r.conv_id = p.conv_id AND r.turn = p.turn + 1 AND r.nth = 1 AND p.nth = 1
+            UNION ALL SELECT r.conv_id, r.turn, 0, 'turn-' || CAST(r.turn - 1 AS VARCHAR), NULL, CASE WHEN i.turn IS NULL THEN 'orphan_result' ELSE 'repeated_result' END, r.turn, 0, 0, r.turn, 'null', r.text
             FROM r LEFT JOIN ids i ON i.conv_id = r.conv_id AND i.turn = r.turn - 1 WHERE i.turn IS NULL OR r.nth > 1)
-        SELECT conv_id, turn, CAST(0 AS BIGINT) AS place, 'turn-' || CAST(id_turn AS VARCHAR) AS call_id, name, status, CASE WHEN status = 'bad_arguments' THEN '$.prompt: length 0' ELSE '' END AS problems,
-          turn AS anchor_turn, CAST(0 AS BIGINT) AS anchor_place, 0 AS level, result_turn,
-          '{"arguments":' || CASE WHEN name IS NULL THEN 'null' WHEN follows THEN head || '"prompt":' || CAST(to_json(prompt) AS VARCHAR) || '}' ELSE '{"prompt":' || CAST(to_json(prompt) AS VARCHAR) || '}' END
-            || ',"id":"turn-' || CAST(id_turn AS VARCHAR) || '","name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || CASE WHEN answer IS NULL THEN 'null' ELSE CAST(to_json(answer) AS VARCHAR) END || '}' AS json
+        SELECT conv_id, turn, CAST(place AS BIGINT) AS place, call_id, name, status, CASE WHEN status = 'bad_arguments' THEN '$.prompt: length 0' ELSE '' END AS problems,
+          anchor_turn, CAST(anchor_place AS BIGINT) AS anchor_place, CAST(level AS INT) AS level, result_turn,
+          '{"arguments":' || args || ',"id":"' || call_id || '","name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"' || name || '"' END || ',"result":' || CASE WHEN answer IS NULL THEN 'null' ELSE CAST(to_json(answer) AS VARCHAR) END || '}' AS json
         FROM every""",
 }
 

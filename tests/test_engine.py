@@ -105,9 +105,9 @@ def test_commands(spark, project):
     html = open(f"{out}/entry_points_report.html").read()
     assert "read_settings" in html and "<html" in html
     cli.main(["graph-from-json", "--entrypoints-json", f"{out}/entry_points.json", "--output-dir", f"{out}/g", "--graph-format", "cert"])
-    drawn = json.loads(open(f"{out}/g/attack_surface.json").read())
+    drawn = json.loads(open(f"{out}/g/exposure.json").read())
     assert {n["name"] for n in drawn["nodeDataArray"] if "name" in n} >= {"core", "EXT_FILE", "EXT_INPUT"}
-    cli.main(["call-graph", "--project-path", str(project / "backend"), "--output-dir", out, "--filter-by-attack-surface", "--format", "cert"])
+    cli.main(["call-graph", "--project-path", str(project / "backend"), "--output-dir", out, "--filter-by-exposure", "--format", "cert"])
     assert json.loads(open(f"{out}/call_graph_stats.json").read())["functions"] == 6
     cli.main(["export-threagile", "--config", str(project / "project.json"), "--output", f"{out}/a.yaml"])
     cli.main(["render-threagile", "--config", f"{out}/a.yaml", "--output-dir", f"{out}/t"])
@@ -161,6 +161,13 @@ def test_discovery(tmp_path):
     assert C.language_of(["tsconfig.json", "package.json"]) == "typescript" and C.language_of(["x.csproj"]) == "c_sharp" and C.language_of(["a.h", "b.cpp", "c.py"]) == "cpp" and C.language_of([]) == ""
     with pytest.raises(C.ConfigError):
         C.auto_project(str(tmp_path / "docs"))
+    (tmp_path / "core" / "sub" / "deep").mkdir()
+    (tmp_path / "core" / "sub" / "deep" / ".git").write_text("gitdir: ../x")
+    (tmp_path / "core" / "node_modules" / "x" / ".git").mkdir(parents=True)
+    assert C.discover(str(tmp_path), True, 2)[0].modules == ["sub", "sub/deep"] and C.discover(str(tmp_path), True, 1)[0].modules == ["sub"]
+    (tmp_path / ".git").mkdir()
+    whole = C.discover(str(tmp_path), True, 3)
+    assert [(r.name, r.path, r.modules) for r in whole] == [(tmp_path.name, str(tmp_path), ["core", "core/sub", "core/sub/deep", "group/service"])]
 
 
 def test_versions(tmp_path, spark):
@@ -254,7 +261,15 @@ def test_report_and_drawing(spark, tmp_path):
     html = open(render.html_report(e, str(tmp_path / "r.html"), "p", "python")).read()
     assert "f&lt;0&gt;" in html
     assert "No entry points" in open(render.exposure_graph(e.limit(0), str(tmp_path), "p", "python", "both")["svg"]).read()
-    assert render.next_free([(0, 10), (12, 30)], 5, 4) == 35 and render.next_free([], 5, 4) == 5
+    wishes = spark.createDataFrame([("l", "a", 5.0), ("l", "b", 0.0), ("l", "c", 6.0), ("l", "d", 90.0), ("r", "e", 7.0)], "side string, name string, wish double")
+    assert {r.name: r.y for r in modules.next_free(wishes, ["side"], ["name"], "wish", 10.0).collect()} == {"b": 0, "a": 10, "c": 20, "d": 90, "e": 7}
+    drawn = json.loads(open(render.exposure_graph(e, str(tmp_path), "p", "python", "both")["cert"]).read())
+    boxes = {n["key"]: n for n in drawn["nodeDataArray"] if "name" in n}
+    assert {n["name"] for n in boxes.values()} == {"orders", "users", "EXT_FILE", "EXT_HTTP", "EXT_ENV", "EXT.4"} and len(drawn["linkDataArray"]) == 4
+    for x in drawn["linkDataArray"]:  # a link's line starts at its interface and ends at its module
+        (ax, ay), (bx, by) = (map(float, boxes[x[k]]["loc"].split()) for k in ("from", "to"))
+        left = x["toPort"] == "left0"
+        assert x["points"][:2] == [ax + (120 if left else 0), ay + 52.5] and x["points"][-2:] == [bx + (0 if left else 150), by + 30]
     assert render.path_module("a/src/core/x.py") == "core" and render.path_module("src/x.py") == "root" and render.path_module("a/b/x.py") == "b"
 
 

@@ -68,15 +68,15 @@ def test_reach_equals_search(spark):
     assert {tuple(r) for r in got.collect()} == seen
 
 
-def test_attack_surface(spark):
+def test_exposure(spark):
     calls = spark.createDataFrame([("backend", "b1", "b2")], "repo string, source_id string, target_id string")
     cross = spark.createDataFrame([("frontend", "f1", "backend", "b1", "http"), ("frontend", "", "backend", "", "http")], "client_repo string, client_node_id string, server_repo string, server_node_id string, link_type string")
     sources = spark.createDataFrame([("frontend", "f1"), ("frontend", "")], "repo string, node_id string")
     names = spark.createDataFrame([("frontend", "f1", "fetch"), ("backend", "b1", "handle")], "repo string, node_id string, name string")
-    s = graph.attack_surface(calls, cross, sources, names)
+    s = graph.exposure(calls, cross, sources, names)
     assert [tuple(r) for r in s["reachable"].collect()] == [("backend", "b1", "handle"), ("backend", "b2", ""), ("frontend", "f1", "fetch")]
     assert [[x.node_id for x in r.path] for r in s["chains"].orderBy("place").collect()] == [["f1", "b1"], ["f1", "b1", "b2"]]
-    alone = graph.attack_surface(calls.limit(0), cross.limit(0), spark.createDataFrame([("backend", "b1")], "repo string, node_id string"), names)
+    alone = graph.exposure(calls.limit(0), cross.limit(0), spark.createDataFrame([("backend", "b1")], "repo string, node_id string"), names)
     assert alone["reachable"].count() == 1 and alone["chains"].count() == 0
 
 

@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--graph-format", choices=["svg", "cert", "both"], default="svg")
     s = add("call-graph", "./call_graph_output")
     graph_source(s)
-    s.add_argument("--filter-by-attack-surface", action="store_true")
+    s.add_argument("--filter-by-exposure", action="store_true")
     s.add_argument("--format", choices=["svg", "cert", "stats"], default="svg")
     s = add("project", "./project_output")
     s.add_argument("--config")
@@ -123,7 +123,7 @@ def _graph_from_json(spark: SparkSession, args: argparse.Namespace) -> None:
 def _call_graph(spark: SparkSession, args: argparse.Namespace) -> None:
     repo = _one(args)
     nodes, edges, lines = _read(spark, args, [repo])
-    entries = engine.scan(nodes, edges, lines, nodes.select("repo").distinct().withColumn("language", F.lit(repo.language))) if args.filter_by_attack_surface else None
+    entries = engine.scan(nodes, edges, lines, nodes.select("repo").distinct().withColumn("language", F.lit(repo.language))) if args.filter_by_exposure else None
     kept, links, stats = engine.call_graph(nodes, edges, entries)
     out = lambda name: os.path.join(args.output_dir, name)
     C._write(out("call_graph_stats.json"), json.dumps(stats.first().asDict(), indent=2))

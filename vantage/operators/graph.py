@@ -148,7 +148,7 @@ def chains(edges: DataFrame, sources: DataFrame, max_nodes: int = M.MAX_CHAIN_NO
     return first.withColumn("place", F.row_number().over(Window.orderBy("source_repo", "source_id", "ords")))
 
 
-def attack_surface(call_edges: DataFrame, cross_edges: DataFrame, sources: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
+def exposure(call_edges: DataFrame, cross_edges: DataFrame, sources: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
     """Sources, reachable nodes and chains, each with node names (empty where unknown).
 
     ``call_edges`` (repo, source_id, target_id); ``cross_edges`` (client_repo, client_node_id, server_repo,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantage.runtime import running
+
 
 def listing_hash(files: DataFrame, *by: str) -> DataFrame:
     """(by..., version): SHA-256 over each group's sorted (path, size), each ended by a zero character.
@@ -53,7 +55,7 @@ def upsert_flows(flows: DataFrame, edges: DataFrame, protocol: Column) -> DataFr
     made = edges.select(F.col("from_repo").alias("source"), F.col("to_repo").alias("target"), protocol.alias("protocol"), "ord")
     fresh = made.groupBy(*key).agg(F.min("ord").alias("ord")).join(seen, key, "left_anti")
     n = flows.select(*key).distinct().agg(F.count("*").alias("n"))
-    numbered = fresh.crossJoin(F.broadcast(n)).withColumn("id", F.concat(F.lit("flow-"), (F.col("n") + F.row_number().over(Window.orderBy("ord", *key))).cast("string")))
+    numbered = running(fresh, ["ord", *key], "_at").crossJoin(F.broadcast(n)).withColumn("id", F.concat(F.lit("flow-"), (F.col("n") + F.col("_at") + 1).cast("string")))  # n: one row
     return flows.select("id", *key).unionByName(numbered.select("id", *key))
 
 

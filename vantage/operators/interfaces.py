@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vantage import model as M
 from vantage.functions.text import empty_strings, lookup, url_literals
+from vantage.runtime import running
 
 ROLES = ("server", "client", "both", "none")
 
@@ -93,27 +94,25 @@ def endpoint_rows(entries: DataFrame) -> DataFrame:
 def batches_by_file(items: DataFrame, n: int = M.ENTRY_BATCH, file: str = "file", ord_: str = "ord") -> DataFrame:
     """Adds batch (from 1): whole chunks of a file in file order; what is left of files is pooled and flushed when full.
 
-    A pooled batch comes right after the file that fills it; the last, unfilled one comes at the end. Only the left-over
-    rows, fewer than ``n`` a file, are ranked together.
+    A pooled batch comes right after the file that fills it; the last, unfilled one comes at the end. What is left of
+    files, and the batches, are numbered by ranges, so no task ranks them all.
     """
     own = Window.partitionBy(file)
     r = items.withColumn("_rn", F.row_number().over(own.orderBy(ord_))).withColumn("_c", F.count("*").over(own))
     whole = F.col("_rn") <= F.col("_c") - F.col("_c") % n
     full = r.where(whole).select(*items.columns, F.struct(F.lit(0).alias("last"), F.col(file).alias("f"), F.lit(0).alias("pooled"), F.expr(f"CAST((_rn - 1) div {n} AS BIGINT)").alias("chunk")).alias("_b"))
-    tail = r.where(~whole).withColumn("_t", F.expr(f"(row_number() OVER (ORDER BY {file}, _rn) - 1) div {n}"))
+    tail = running(r.where(~whole), [file, "_rn"], "_at").withColumn("_t", F.expr(f"_at div {n}")).drop("_at")
     by = Window.partitionBy("_t")
     tail = tail.withColumn("_close", F.max(file).over(by)).withColumn("_size", F.count("*").over(by))
     pooled = tail.select(*items.columns, F.struct(F.when(F.col("_size") < n, 1).otherwise(0).alias("last"), F.when(F.col("_size") < n, F.lit("")).otherwise(F.col("_close")).alias("f"), F.lit(1).alias("pooled"), F.col("_t").cast("long").alias("chunk")).alias("_b"))
     every = full.unionByName(pooled)
-    # batches, not rows, are numbered in one sequence
-    ids = every.select("_b").distinct().withColumn("batch", F.row_number().over(Window.orderBy("_b")).cast("long"))
+    ids = running(every.select("_b").distinct(), ["_b"], "_at").select("_b", (F.col("_at") + 1).alias("batch"))
     return every.join(ids, "_b").drop("_b")
 
 
 def chunks(items: DataFrame, order: list[str], n: int = M.LINK_BATCH) -> DataFrame:
     """Adds chunk (from 0) and index (from 0) of fixed-size chunks in order."""
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    return items.withColumn("_at", at).withColumn("chunk", F.expr(f"CAST(_at div {n} AS BIGINT)")).withColumn("index", (F.col("_at") % n).cast("int")).drop("_at")
+    return running(items, order, "_at").withColumn("chunk", F.expr(f"CAST(_at div {n} AS BIGINT)")).withColumn("index", (F.col("_at") % n).cast("int")).drop("_at")
 
 
 def spread(items: DataFrame, groups: list[str], decided: DataFrame, default: Column) -> DataFrame:

@@ -20,7 +20,7 @@ CONFIDENCE = "medium"
 
 
 def compatibility(df: DataFrame) -> DataFrame:
-    return F.broadcast(df.sparkSession.createDataFrame(M.compatibility_rows(), "interface_kind string, link_type string"))
+    return F.broadcast(df.sparkSession.createDataFrame(M.COMPATIBLE, "interface_kind string, link_type string"))
 
 
 def endpoints_for(endpoints: DataFrame, role: str, with_types: bool = True) -> DataFrame:

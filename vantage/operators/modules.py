@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.functions.text import module_of_path, subsystem_of
+from vantage.runtime import running
 
 
 def entry_types(sources: str = "external_sources", own: str = "entry_point_type") -> Column:
@@ -45,13 +46,25 @@ def report_totals(entries: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("type").alias("type_count"), F.count("*").alias("source_count")).crossJoin(entries.agg(F.count("*").alias("ep_count")))
 
 
-def grid(items: DataFrame, order: list[str], width: float, height: float, left: float = 0, top: float = 0) -> DataFrame:
-    """Adds key (from 1), row, col, x, y: a square grid filled row by row. For the few items of a drawing."""
-    w = Window.orderBy(*order)
-    n = items.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")))).cast("long").alias("cols"))
-    placed = items.withColumn("key", F.row_number().over(w).cast("long")).crossJoin(F.broadcast(n))
-    at = F.col("key") - 1
-    return placed.withColumn("row", F.expr("(key - 1) div cols")).withColumn("col", at % F.col("cols")).withColumn("x", left + F.col("col") * width).withColumn("y", top + F.col("row") * height).drop("cols")
+def grid(items: DataFrame, order: list[str], width: float, height: float, left: float = 0, top: float = 0, by: list[str] | None = None) -> DataFrame:
+    """Adds key (from 1), row, col, x, y: a square grid filled row by row, one for each group. For the few items of a drawing."""
+    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    cols = F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*").over(own)))).cast("long")
+    placed = items.withColumn("key", F.row_number().over(own.orderBy(*order)).cast("long")).withColumn("_cols", cols)
+    placed = placed.withColumn("row", F.expr("(key - 1) div _cols")).withColumn("col", (F.col("key") - 1) % F.col("_cols"))
+    return placed.withColumn("x", left + F.col("col") * width).withColumn("y", top + F.col("row") * height).drop("_cols")
+
+
+def next_free(items: DataFrame, by: list[str], order: list[str], wish: str, pitch: float, out: str = "y") -> DataFrame:
+    """Adds ``out``: from the highest wish down, each item's wish, or the place right below the item before if that is lower.
+
+    Items of a group are ``pitch`` high. With the k-th item's place held against k places of a full column, "below all
+    before" is a running maximum, so nothing is placed one by one. For the few items of a drawing.
+    """
+    w = Window.partitionBy(*by).orderBy(wish, *order)
+    slack = items.withColumn("_k", F.row_number().over(w) - 1).withColumn("_slack", F.col(wish) - F.col("_k") * F.lit(float(pitch)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return slack.withColumn(out, F.col("_k") * F.lit(float(pitch)) + F.max("_slack").over(upto)).drop("_k", "_slack")
 
 
 def stacked(items: DataFrame, order: list[str], height: Column, gap: float, top: float) -> DataFrame:
@@ -61,8 +74,9 @@ def stacked(items: DataFrame, order: list[str], height: Column, gap: float, top:
 
 
 def keys(items: DataFrame, order: list[str], first: int = 1, step: int = 1) -> DataFrame:
-    """Adds dense surrogate keys in order: from ``first`` by ``step`` (groups count down from -1)."""
-    return items.withColumn("key", (F.lit(first) + F.lit(step) * (F.row_number().over(Window.orderBy(*order)) - 1)).cast("long"))
+    """Adds dense surrogate keys in order: from ``first`` by ``step`` (groups count down from -1). Ranges are numbered apart."""
+    placed = running(items, order, "_at")
+    return placed.withColumn("key", (F.lit(first) + F.lit(step) * F.col("_at")).cast("long")).drop("_at")
 
 
 def module_links(edges: DataFrame, keys_: DataFrame) -> DataFrame:

@@ -258,7 +258,7 @@ def _endpoints(v: Views) -> DataFrame:
 
 
 _EP = "eps AS (SELECT * EXCLUDE (urls), coalesce(urls[1], '') AS signature, urls[2:] AS signature_aliases FROM {endpoints})"
-_COMPAT = "compat AS " + _values(M.compatibility_rows(), "interface_kind", "link_type")
+_COMPAT = "compat AS " + _values(M.COMPATIBLE, "interface_kind", "link_type")
 #: Patterns of a signature, an alias or both for URL types, in order and distinct.
 _SEG = r"trim(regexp_replace(string_split(rtrim(s.u, '/'), '/')[-1], '\{{[^}}]*\}}', '', 'g'))"
 _PATTERNS = (
@@ -701,37 +701,31 @@ def _drawn(v: Views, text: str, *more: object) -> DataFrame:
     return v._spark.createDataFrame([(text, *more)], "drawing string, items long")
 
 
-def _module_list(v: Views) -> list[tuple[str, list[str]]]:
-    return [(r.module, list(r.types)) for r in modules.modules(_entry_rows(v)).orderBy("module").collect()]
+def _module_rows(v: Views) -> DataFrame:
+    return modules.modules(_entry_rows(v)).select("module", "types")
 
 
 @query()  # text made by a template; the tests parse it
 def svg_render(v: Views) -> DataFrame:
     from vantage.sinks.render import exposure_svg
 
-    rows = _module_list(v)
+    rows = [(r.module, list(r.types)) for r in _module_rows(v).orderBy("module").collect()]  # what is drawn
     return _drawn(v, exposure_svg(rows, "parts", "python"), len(rows))
 
 
-@query()
+@query()  # the model of a drawing is one JSON text; the tests parse it
 def cert_json(v: Views) -> DataFrame:
     import json
 
     from vantage.sinks.render import exposure_model
 
-    made = exposure_model(_module_list(v), "parts", "python")
+    made = exposure_model(_module_rows(v), "parts", "python")
     return _drawn(v, json.dumps(made, ensure_ascii=False), len(made["nodeDataArray"]))
 
 
-@query()  # each place depends on all before it
+@query("""WITH w AS (SELECT n_name, n_regionkey % 2 AS side, CAST(80 + 40 * n_regionkey AS DOUBLE) AS wish FROM {nation}),
+    k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY wish, n_name) - 1 AS k FROM w)
+    SELECT n_name, side, k * 105.0e0 + max(wish - k * 105.0e0) OVER (PARTITION BY side ORDER BY wish, n_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM k""")
 def avail_y_layout(v: Views) -> DataFrame:
-    from vantage.sinks.render import next_free
-
-    used: list[tuple[float, float]] = []
-    rows = []
-    for name, types in _module_list(v):
-        for j, kind in enumerate(types):
-            y = next_free(used, 80.0 + 50 * j, 105.0)
-            used.append((y, y + 105.0))
-            rows.append((name, kind, float(y)))
-    return v._spark.createDataFrame(rows, "module string, type string, y double")
+    items = v.nation.select("n_name", (F.col("n_regionkey") % 2).alias("side"), (80 + 40 * F.col("n_regionkey")).cast("double").alias("wish"))
+    return modules.next_free(items, ["side"], ["n_name"], "wish", 105.0).select("n_name", "side", "y")

@@ -66,7 +66,7 @@ def analyse(project: Project, nodes: DataFrame, edges: DataFrame, lines: DataFra
     servers = entries.where(F.col("descriptor.interface_role").isin("server", "both")).select("repo", "node_id")
     names = nodes.select("repo", "node_id", "name").unionByName(entries.select("repo", "node_id", F.col("function_name").alias("name")))
     cross = links.select(F.col("from_repo").alias("client_repo"), "client_node_id", F.col("to_repo").alias("server_repo"), "server_node_id", "link_type")
-    surface = graph.attack_surface(graph.valid_calls(nodes, edges), cross, servers, names)
+    surface = graph.exposure(graph.valid_calls(nodes, edges), cross, servers, names)
     return Result(project, nodes, edges, entries, endpoints, links, surface)
 
 

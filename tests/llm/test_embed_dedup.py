@@ -64,3 +64,56 @@ def test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
     assert sorted(map(tuple, ed.near_vectors(df).collect()), key=str) == plain(rows)
+
+
+def screened(x, how, cosine=0.95):
+    """(share of all pairs compared, copies a vector) over all rows, counted apart from the operator's own estimate."""
+    own, came, rows = {}, {}, 0
+    for block, at, keys, side in ed.cells(x, how, cosine):
+        rows += len(at)
+        for k in keys.tolist():
+            into = came if side else own
+            into[block, k] = into.get((block, k), 0) + 1
+    n = len(x)
+    return sum(c * (c - 1) / 2 + c * came.get(k, 0) for k, c in own.items()) / (n * (n - 1) / 2), rows / n
+
+
+def test_grid_is_an_index_where_directions_are_few():
+    """80,000 vectors near a six-dimensional space: under a quarter of all pairs compared, under 8 copies of a vector.
+
+    A link's radius is 0.316, and a coordinate's spread there is 0.41: cells as wide as the radius are few.
+    """
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((80_000, 6)) @ rng.standard_normal((6, 64)) + 0.05 * rng.standard_normal((80_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    share, copies = screened(x, ed.plan(x[: ed.SAMPLE], 0.95))
+    assert share < 0.25 and copies < 8
+
+
+def test_even_directions_compare_every_pair_once():
+    """Vectors spread evenly over 64 directions: a block's radius is wider than a coordinate's spread, so no grid helps."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    share, copies = screened(x, ed.plan(x[: ed.SAMPLE], 0.95))
+    assert share <= 1 and copies < 8
+
+
+@pytest.mark.parametrize("number, grid", [(1, 0), (1, 3), (2, 2), (4, 2), (4, 4), (8, 3)])
+def test_every_plan_is_exact(spark, monkeypatch, number, grid):
+    monkeypatch.setattr(ed, "plans", lambda classes, cosine: {64: ed.Plan(np.linalg.qr(np.random.default_rng(3).standard_normal((64, 64)))[0], ed.dealt(64, number), grid)})
+    rows = clusters(np.random.default_rng(6), 64, 50)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ed.near_vectors(df).collect()), key=str) == plain(rows)
+
+
+def test_low_rank_table(spark, monkeypatch):
+    """A table whose plan has a grid, over tiles, against brute force; mixed lengths and clashing columns."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1200, 4)) @ rng.standard_normal((4, 32)) + 0.02 * rng.standard_normal((1200, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert ed.plan(unit, 0.95).grid
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(5000 + i, [float(i % 3), 1.0]) for i in range(9)]
+    monkeypatch.setattr(ed, "TILE", 100)
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "vec_id long, embedding array<double>, cid int, v string")
+    assert sorted(map(tuple, ed.near_vectors(df).collect()), key=str) == plain(rows)

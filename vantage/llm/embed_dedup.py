@@ -1,24 +1,32 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
-Unit vectors with cosine >= t are at a squared distance of at most 2 - 2t. They are rotated by a fixed random orthogonal
-matrix and split into blocks of about ``BLOCK`` dimensions; in at least one block two such vectors are within that
-block's share of the squared distance, in proportion to its dimensions. So each block is range-joined under its own
-budget, and the union of what the blocks find is verified exactly, in double precision, on the whole vectors.
-
-The range join of a block lays a grid as wide as its radius over its first ``GRID`` dimensions. A vector belongs to its
-cell and is copied to those later neighbouring cells that its ball reaches, so any two within the radius meet once.
-Cells of more than ``TILE`` vectors are cut into tiles, and pairs of tiles are separate tasks. A link is counted in the
-first block whose budget it meets, so nothing has to be made distinct. A tile gives each vector's number of links and a
-spanning forest of its links, never the links themselves: its output is as long as its input, however dense it is.
+Unit vectors with cosine >= t are at a squared distance of at most 2 - 2t. They are rotated by an orthogonal matrix and
+split into blocks; in at least one block two such vectors are within that block's share of the squared distance, in
+proportion to its dimensions. So each block is range-joined under its own budget, and the union of what the blocks find
+is verified exactly, in double precision, on the whole vectors.
+
+The rotation turns the principal axes of a bounded sample to the front (any rotation is exact), and blocks take the axes
+in turn, so each has its share of the directions in which vectors differ most. The range join of a block lays a grid as
+wide as its radius over its first axes. A vector belongs to its cell and is copied to those later neighbouring cells
+that its ball reaches, so any two within the radius meet once. How many blocks, and over how many axes a grid, is chosen
+for each length of vector by counting on the sample what each choice would compare and copy (``plan``): vectors that lie
+near a few directions are cut into many small cells; where no choice compares less than everything, as with vectors that
+are spread evenly over all directions, one block of one cell remains, and every pair is compared once.
+
+Cells of more than ``TILE`` vectors are cut into tiles, and pairs of tiles are separate tasks. A tile's distances are
+screened on a block's first ``SCREEN`` axes. A link is counted in the first block whose budget it meets, so nothing has
+to be made distinct. A tile gives each vector's number of links and a spanning forest of its links, never the links
+themselves: its output is as long as its input, however dense it is.
 
 Equal vectors are one class with a count. Vectors that are null, zero, or hold null or non-finite components link with
-nothing; so do vectors of different lengths with each other. An empty table gives no row.
+nothing; so do vectors of different lengths with each other. Other columns are ignored, whatever their names. An empty
+table gives no row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -27,27 +35,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import components, written
+from vantage.llm.common import components, discard, map_batches, written
 
-COSINE, BLOCK, GRID, TILE = 0.95, 16, 2, 65536
+COSINE, TILE, SCREEN = 0.95, 16384, 16
+#: Vectors that plans are made from; lengths of vectors that get a plan of their own; copies of a vector that a plan may make.
+SAMPLE, LENGTHS, COPIES = 2048, 4, 8
 SLACK = 1e-9
 _ROWS, _COLUMNS = 256, 16384
 
 
-@lru_cache(maxsize=8)
-def rotation(dim: int, seed: int = 11) -> np.ndarray:
-    """A fixed random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+@dataclass
+class Plan:
+    """How vectors of one length are cut: rotation (None: none), axes of each block, axes under the grid."""
+
+    basis: np.ndarray | None
+    blocks: list[np.ndarray]
+    grid: int
+
+    def budgets(self, cosine: float) -> np.ndarray:
+        """Each block's share of the squared distance."""
+        return np.array([len(b) for b in self.blocks]) * ((2 - 2 * cosine) / sum(map(len, self.blocks)) * (1 + SLACK))
+
+    def rotate(self, x: np.ndarray) -> np.ndarray:
+        return x if self.basis is None else x @ self.basis
 
 
-def blocks(dim: int, size: int = BLOCK) -> list[np.ndarray]:
-    return np.array_split(np.arange(dim), max(1, dim // size))
+def single(dim: int) -> Plan:
+    """One block of one cell."""
+    return Plan(None, [np.arange(dim)], 0)
 
 
-def budgets(dim: int, cosine: float, size: int = BLOCK) -> np.ndarray:
-    """Each block's share of the squared distance."""
-    return np.array([(2 - 2 * cosine) * len(b) / dim for b in blocks(dim, size)]) * (1 + SLACK)
+def dealt(dim: int, n: int) -> list[np.ndarray]:
+    """``n`` blocks that take the axes in turn."""
+    return [np.arange(k, dim, n) for k in range(n)]
+
+
+def cost(cells: Iterator[tuple[int, np.ndarray, np.ndarray, int]], n: int) -> tuple[float, float]:
+    """(pairs compared, as a share of all; copies of a vector) of the cells of ``n`` vectors."""
+    own: dict[tuple[int, int], int] = {}
+    came: dict[tuple[int, int], int] = {}
+    for block, _, keys, side in cells:
+        for k, c in zip(*np.unique(keys, return_counts=True), strict=True):
+            at = came if side else own
+            at[block, int(k)] = at.get((block, int(k)), 0) + int(c)
+    pairs = sum(c * (c - 1) / 2 + c * came.get(k, 0) for k, c in own.items())
+    return pairs / max(n * (n - 1) / 2, 1), (sum(own.values()) + sum(came.values())) / max(n, 1)
+
+
+def plan(x: np.ndarray, cosine: float) -> Plan:
+    """The plan that compares least on a sample of unit vectors, weighed by the axes that a comparison screens."""
+    n, dim = x.shape
+    if n < 64 or dim < 2:
+        return single(dim)
+    _, axes = np.linalg.eigh(np.cov(x.T))
+    basis = np.ascontiguousarray(axes[:, ::-1])
+    best, least = Plan(basis, [np.arange(dim)], 0), float(8 + min(SCREEN, dim))
+    for number in (1, 2, 3, 4, 6, 8):
+        if number > dim:
+            break
+        for grid in range(1, min(4, dim // number) + 1):
+            made = Plan(basis, dealt(dim, number), grid)
+            share, copies = cost(cells(x, made, cosine), n)
+            weight = share * (8 + min(SCREEN, dim // number)) + 1e-3 * copies
+            if copies < COPIES and weight < 0.9 * least:
+                best, least = made, weight
+    return best
 
 
 def vector_bytes(batch: pa.Array) -> list[bytes | None]:
@@ -78,33 +130,32 @@ def _units(blobs: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def cell_rows(blobs: list[bytes], cosine: float, grid: int = GRID) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(row, key, side) arrays: the cells that each row of equal-length vectors belongs to (side 0) or is copied to (1)."""
-    x = _units(blobs)
-    dim = x.shape[1]
-    y = x @ rotation(dim)
-    for b, (own, budget) in enumerate(zip(blocks(dim), budgets(dim, cosine), strict=True)):
+def cells(x: np.ndarray, how: Plan, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(block, rows, keys, side): the cells that each of the unit vectors belongs to (side 0) or is copied to (1)."""
+    y = how.rotate(x)
+    rows = np.arange(len(x))
+    for b, (own, budget) in enumerate(zip(how.blocks, how.budgets(cosine), strict=True)):
         width = float(np.sqrt(budget)) if budget > 0 else 1e-6
-        g = min(grid, len(own))
+        g = min(how.grid, len(own))
+        if not g:
+            yield b, rows, np.zeros(len(x), np.int64), 0
+            continue
         z = y[:, own[:g]]
         cell = np.floor(z / width).astype(np.int64)
-        far = int(np.ceil(1 / width)) + 2
+        base = 2 * (int(np.ceil(1 / width)) + 2) + 1
+        places = np.array([base**d for d in range(g)], np.int64)
 
-        def key(c: np.ndarray, b: int = b, far: int = far, g: int = g) -> np.ndarray:
-            k = np.full(len(c), dim * 64 + b, np.int64)
-            for d in range(g):
-                k = k * (2 * far + 1) + (c[:, d] + far)
-            return k
+        def key(c: np.ndarray, places: np.ndarray = places, base: int = base) -> np.ndarray:
+            return (c + base // 2) @ places
 
-        rows = np.arange(len(x))
-        yield rows, key(cell), 0
+        yield b, rows, key(cell), 0
         low, high = z - cell * width, (cell + 1) * width - z
         for offset in product((-1, 0, 1), repeat=g):
             if offset <= (0,) * g:
                 continue
             gap = sum((high[:, d] ** 2 if o > 0 else low[:, d] ** 2) for d, o in enumerate(offset) if o)
             near = np.flatnonzero(gap <= budget)
-            yield rows[near], key(cell[near] + np.array(offset)), 1
+            yield b, near, key(cell[near] + np.array(offset)), 1
 
 
 def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -130,25 +181,25 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
         label = parent[label]
 
 
-def tile_links(block: int, x: np.ndarray, weight: np.ndarray, side: np.ndarray, part: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def tile_links(how: Plan, block: int, x: np.ndarray, weight: np.ndarray, side: np.ndarray, part: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Numbers of links (weighted) and a spanning forest of a tile's links that are this block's to count.
 
     Pairs need one row of the cell itself (side 0) and, in a tile of two parts, one row of each. Rows of the cell come
-    first, so a pair is met once, by its earlier row. The block's distances are screened in single precision, with
-    room for its error, by one product: |a - b|^2 <= s exactly if a.b - |b|^2 / 2 >= (|a|^2 - s) / 2.
+    first, so a pair is met once, by its earlier row. Distances over the block's first axes, which are at most those over
+    the block, are screened in single precision, with room for its error, by one product: |a - b|^2 <= s exactly if
+    a.b - |b|^2 / 2 >= (|a|^2 - s) / 2.
     """
     order = np.argsort(side, kind="stable")
     back = order  # place in the tile of each sorted row
     x, weight, part, own = x[order], weight[order], part[order], int((side == 0).sum())
-    n, dim = x.shape
-    y = x @ rotation(dim)
-    cuts, budget = blocks(dim), budgets(dim, cosine)
-    z = y[:, cuts[block]].astype(np.float32)
+    n = len(x)
+    y = how.rotate(x)
+    budget = how.budgets(cosine)
+    z = y[:, how.blocks[block][:SCREEN]].astype(np.float32)
     norm = np.einsum("ij,ij->i", z, z)
     left = np.concatenate((z[:own], np.ones((own, 1), np.float32)), axis=1)
     right = np.concatenate((z, -norm[:, None] / 2), axis=1).T.copy()
     least = (norm[:own] - np.float32(budget[block])) / 2 - np.float32(1e-5)
-    starts = np.array([c[0] for c in cuts])
     counts, label, forest = np.zeros(n, np.int64), np.arange(n), []
     two = part.min() != part.max()
     for at in range(0, own, _ROWS):
@@ -167,9 +218,11 @@ def tile_links(block: int, x: np.ndarray, weight: np.ndarray, side: np.ndarray,
                 p, q = p[ok], q[ok]
                 if not len(p):
                     continue
-                gaps = np.add.reduceat((y[p] - y[q]) ** 2, starts, axis=1) <= budget
-                mine = gaps.argmax(axis=1) == block
-                p, q = p[mine], q[mine]
+                if len(how.blocks) > 1:
+                    apart = (y[p] - y[q]) ** 2
+                    gaps = np.array([apart[:, c].sum(axis=1) for c in how.blocks]).T <= budget
+                    mine = gaps.argmax(axis=1) == block
+                    p, q = p[mine], q[mine]
                 np.add.at(counts, p, weight[q])
                 np.add.at(counts, q, weight[p])
                 label, joined = _forest(label, p, q)
@@ -179,74 +232,79 @@ def tile_links(block: int, x: np.ndarray, weight: np.ndarray, side: np.ndarray,
     return out, [(int(back[i]), int(back[j])) for i, j in forest]
 
 
+def plans(classes: DataFrame, cosine: float) -> dict[int, Plan]:
+    """A plan for each of the commonest lengths of a sample of the vectors, by hash."""
+    share = SAMPLE / max(1, classes.count())
+    u = F.pmod(F.xxhash64(F.lit("plan"), "v"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    by: dict[int, list[bytes]] = {}
+    for r in classes.where(u < share).select("v").collect():  # about SAMPLE vectors
+        by.setdefault(dimensions(bytes(r.v)), []).append(bytes(r.v))
+    common = sorted(by, key=lambda d: (-len(by[d]), d))[:LENGTHS]
+    return {d: plan(_units(sorted(by[d])), cosine) for d in common}
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs of rows with cosine >= ``cosine``.
 
     component_id is the least vec_id reachable, kept whether it is the row's own. Repeated vec_ids are rows of their own.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vector_bytes(b.column(1)), pa.binary())], ["vec_id", "v"])
 
-    rows = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e")).mapInArrow(read, "vec_id long, v binary"), "vectors")
+    rows = written(map_batches(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e")), read, "vec_id long, v binary", 4096), "vectors")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    shared = spark.sparkContext.broadcast(plans(classes, cosine))  # at most LENGTHS rotations
 
-    def keyed(hot: dict[int, int], only_keys: bool):
+    def keyed(hot: dict[tuple[int, int, int], int], only_keys: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cid, n, v = b.column("cid").to_numpy(), b.column("n").to_numpy(), b.column("v").to_pylist()
                 sizes = np.array([dimensions(x) for x in v])
-                for size in np.unique(sizes):
+                for size in np.unique(sizes).tolist():
                     some = np.flatnonzero(sizes == size)
                     blobs = [v[k] for k in some]
-                    for at, key, side in cell_rows(blobs, cosine):
+                    for block, at, key, side in cells(_units(blobs), shared.value.get(size) or single(size), cosine):
                         if only_keys:
                             k, c = np.unique(key, return_counts=True)
-                            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["key", "c"])
+                            cols = [np.full(len(k), size, np.int32), np.full(len(k), block, np.int32), k, c.astype(np.int64)]
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["dim", "block", "key", "c"])
                             continue
-                        cuts = np.array([hot.get(x, 1) for x in key.tolist()], np.int64)
+                        cuts = np.array([hot.get((size, block, x), 1) for x in key.tolist()], np.int64)
                         own = cid[some[at]] % cuts
                         reps = np.repeat(np.arange(len(at)), cuts)
                         other = np.arange(len(reps)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
                         a, o = at[reps], own[reps]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key[reps]), pa.array(np.minimum(o, other)), pa.array(np.maximum(o, other)), pa.array(o), pa.array(np.full(len(a), side, np.int32)), pa.array(cid[some[a]]), pa.array(n[some[a]]), pa.array([blobs[k] for k in a], pa.binary())],
-                            ["key", "t1", "t2", "part", "side", "cid", "n", "v"],
-                        )
+                        constant = [np.full(len(a), size, np.int32), np.full(len(a), block, np.int32)]
+                        cols = [*constant, key[reps], np.minimum(o, other), np.maximum(o, other), o, np.full(len(a), side, np.int32), cid[some[a]], n[some[a]]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array([blobs[k] for k in a], pa.binary())], ["dim", "block", "key", "t1", "t2", "part", "side", "cid", "n", "v"])
 
         return run
 
-    counted = classes.mapInArrow(keyed({}, True), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    # a cell key names a block and a place in the unit ball's grid: a few hundred for each length of vector
-    hot = {r.key: -(-r.c // TILE) for r in counted.where(F.col("c") > TILE).collect()}
-    tiles = classes.mapInArrow(keyed(hot, False), "key long, t1 long, t2 long, part long, side int, cid long, n long, v binary")
+    counted = map_batches(classes, keyed({}, True), "dim int, block int, key long, c long", 4096).groupBy("dim", "block", "key").agg(F.sum("c").alias("c"))
+    size = F.greatest(F.lit(512), F.least(F.lit(TILE), F.expr("4194304 div dim"))) if TILE >= 512 else F.lit(TILE)
+    # a cell is a place in the unit ball's grid: their number is bounded by the radius, whatever the table's size
+    hot = {(r.dim, r.block, r.key): r.cuts for r in counted.withColumn("cuts", F.ceil(F.col("c") / size)).where("cuts > 1").collect()}
+    tiles = map_batches(classes, keyed(hot, False), "dim int, block int, key long, t1 long, t2 long, part long, side int, cid long, n long, v binary", 4096)
 
     def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _units(pdf["v"].tolist())
-        dim = x.shape[1]
-        first = int(key[0])
-        cut = 0
-        for b, budget in enumerate(budgets(dim, cosine)):  # which block the key is of
-            far = int(np.ceil(1 / (float(np.sqrt(budget)) if budget > 0 else 1e-6))) + 2
-            g = min(GRID, len(blocks(dim)[b]))
-            if first // (2 * far + 1) ** g == dim * 64 + b:
-                cut = b
         cid = pdf["cid"].to_numpy()
-        counts, forest = tile_links(cut, x, pdf["n"].to_numpy(), pdf["side"].to_numpy(), pdf["part"].to_numpy(), cosine)
+        how = shared.value.get(int(key[0])) or single(int(key[0]))
+        counts, forest = tile_links(how, int(key[1]), _units(pdf["v"].tolist()), pdf["n"].to_numpy(), pdf["side"].to_numpy(), pdf["part"].to_numpy(), cosine)
         some = np.flatnonzero(counts)
         links = pd.DataFrame({"a": cid[some], "b": pd.array([None] * len(some), "Int64"), "w": counts[some]})
         edges = pd.DataFrame({"a": [cid[i] for i, _ in forest], "b": pd.array([cid[j] for _, j in forest], "Int64"), "w": 0})
         return pd.concat([links, edges]).astype({"a": "int64", "w": "int64"})
 
-    found = written(tiles.groupBy("key", "t1", "t2").applyInPandas(tile, "a long, b long, w long"), "tile-links")
+    found = written(tiles.groupBy("dim", "block", "key", "t1", "t2").applyInPandas(tile, "a long, b long, w long"), "tile-links")
     roots = components(found.where("b is not null").select("a", "b"))
     sums = found.where("b is null").groupBy("a").agg(F.sum("w").alias("w"))
     info = classes.select("cid", "rep", "n").join(sums, F.col("cid") == F.col("a"), "left").join(roots, F.col("cid") == F.col("node"), "left")
     info = written(info.select("cid", "rep", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "classes-linked")
+    discard(found)
     least = info.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = info.join(least, "root").select("cid", "n_links", "component_id")
     linked = rows.where("v is not null").join(classes.select("v", "cid"), "v").join(by_class, "cid").select("vec_id", "n_links", "component_id")

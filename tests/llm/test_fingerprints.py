@@ -31,7 +31,7 @@ def plain_near(a, b, k):
 
 
 def plain(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)), r[1] or ""))
     out = []
     for k, (d, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
@@ -45,8 +45,14 @@ def plain(rows):
 
 def check(spark, rows):
     docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, n_chars int, edited string")
-    got = fp.compare_neighbours(docs).drop("distinct_shingles").collect()
-    assert sorted(map(tuple, got), key=str) == plain(rows)
+    every = fp.compare_neighbours(docs).collect()
+    got = [tuple(r)[:7] for r in every]
+    assert sorted(got, key=str) == plain(rows)
+    for r in every:
+        a, b = ({int(x) for x in f.split(",") if x} for f in (r.fingerprint, r.edited_fingerprint))
+        assert 0 <= r.contained_edited <= 1 and r.union_shingles >= r.distinct_shingles * 0.999
+        if len(a) < fp.K and len(b) < fp.K and len(a | b) < fp.K:  # all estimates are exact
+            assert r.distinct_shingles == len(a) and r.union_shingles == len(a | b) and abs(r.contained_edited - (len(a & b) / len(a) if a else 1)) < 1e-9
 
 
 def test_table(spark):
@@ -61,6 +67,11 @@ def test_edge_cases(spark, monkeypatch):
     check(spark, rows)
     check(spark, [(1, "only one text of six words")])
     check(spark, [(5, "a b"), (5, "a c")])
+    # an id that most rows share, and rows without ids, are cut into many chunks
+    check(spark, [(7, f"a{i} b") for i in range(60)] + [(i, f"c{i}") for i in range(12)] + [(None, f"n{i} x") for i in range(50)])
+    docs = spark.createDataFrame([(7, f"a{i}") for i in range(200)] + [(None, f"n{i}") for i in range(200)], "doc_id long, text string")
+    seen = fp.with_next(docs, "doc_id", ["text"], lambda d: d.withColumn("chunk", F.col("_part")))
+    assert seen.groupBy("chunk").count().agg(F.max("count")).first()[0] < 20
     assert fp.compare_neighbours(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from vantage.operators import graph
 
@@ -91,3 +92,18 @@ def test_subgraph_and_statistics(spark):
     assert (s.total_nodes, s.functions, s.total_edges, s.call_edges, s.inherit_edges) == (5, 5, 5, 4, 1)
     assert {r.node_id for r in graph.roots(n, e).collect()} == {"n0", "n4"}
     assert {(r.source_id, r.target_id) for r in graph.valid_calls(n, e).collect()} == {("n0", "n1"), ("n1", "n2"), ("n3", "n3")}
+
+
+def test_chains_cost_nothing_without_a_crossing(spark):
+    """Fully joined layers hold 335,922 open paths; none is walked where no cross edge can be reached."""
+    layers = [[f"n{k}_{i}" for i in range(6 if k else 1)] for k in range(8)]
+    calls = [("r", a, b) for k in range(7) for a in layers[k] for b in layers[k + 1]]
+    edges = spark.createDataFrame([(r, a, r, b, "call", "") for r, a, b in calls], "src_repo string, src_id string, dst_repo string, dst_id string, scope string, kind string")
+    start = spark.createDataFrame([("r", "n0_0")], "repo string, node_id string")
+    began = time.perf_counter()
+    assert graph.chains(graph.numbered(edges), start).collect() == []
+    assert time.perf_counter() - began < 30
+    # a cross edge at the last layer is seven steps away: paths of eight nodes end before it, a shorter way is found
+    far = edges.unionByName(spark.createDataFrame([("r", "n7_0", "s", "x", "cross", "http"), ("r", "n1_3", "s", "y", "cross", "http")], edges.schema))
+    found = graph.chains(graph.numbered(far), start).collect()
+    assert [[n.node_id for n in r.path] for r in found] == [["n0_0", "n1_3", "y"]]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage import model as M
-from vantage.runtime import settled
+from vantage.runtime import discard, settled
 
 CALLABLE = ("function", "method")
 
@@ -24,7 +24,7 @@ def reachable(edges: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
     steps = edges.select("src_repo", "src_id", "dst_repo", "dst_id").where("src_id <> '' and dst_id <> ''").distinct()
     steps = settled(steps)
     seen = settled(sources.select("repo", "node_id").where("node_id <> ''").distinct())
-    front = seen
+    front, parts = seen, [seen]
     while not front.isEmpty():
         found, at = None, front
         for _ in range(hops):
@@ -32,7 +32,12 @@ def reachable(edges: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
             at = at.join(steps, on).select(F.col("dst_repo").alias("repo"), F.col("dst_id").alias("node_id")).distinct()
             found = at if found is None else found.unionByName(at)
         front = settled(found.distinct().join(seen, ["repo", "node_id"], "left_anti"))
+        parts.append(front)
         seen = seen.unionByName(front)
+        if len(parts) > 8:  # many short rounds: one table instead of a long union
+            seen = settled(seen)
+            discard(*parts[:-1])
+            parts = [seen, front]
     return seen
 
 
@@ -123,29 +128,63 @@ def chains(edges: DataFrame, sources: DataFrame, max_nodes: int = M.MAX_CHAIN_NO
     preorder is the lexicographic order of edge places, prefixes first, so the first ``per_source`` chains of a source
     and the first ``total`` in source order are found by rank. A round adds one node to the longest paths and drops those
     that ``per_source`` chains already precede: nothing after them can count. The exact limits are the result's own.
-    A source's open paths are ranked together: at most ``per_source`` times its nodes' out-degrees.
+    A path that hasn't crossed goes on only while a cross edge is near enough, by a backward search from the cross edges
+    before, so a graph without any costs nothing. Sources are walked in order, in growing batches, until ``total`` chains
+    stand. A source's open paths are ranked together: at most ``per_source`` times its nodes' out-degrees.
     """
-    steps = edges.where("src_id <> '' and dst_id <> ''").select("src_repo", "src_id", "dst_repo", "dst_id", "scope", "ord")
-    steps = settled(steps.repartition("src_repo", "src_id"))
+    steps = settled(edges.where("src_id <> '' and dst_id <> ''").select("src_repo", "src_id", "dst_repo", "dst_id", "scope", "ord"))
+    need = settled(_steps_to_cross(steps, max_nodes - 1))
+    ahead = need.select(F.col("repo").alias("dst_repo"), F.col("node_id").alias("dst_id"), "need")
+    steps = settled(steps.join(ahead, ["dst_repo", "dst_id"], "left"))
+    left = sources.where("node_id <> ''").select("repo", "node_id").distinct().join(need, ["repo", "node_id"]).select("repo", "node_id")
+    found, size = None, total
+    while True:
+        batch = settled(left.orderBy("repo", "node_id").limit(size))
+        rows = _walk(steps, batch, max_nodes, per_source)
+        found = rows if found is None else found.unionByName(rows)
+        if batch.count() < size or found.limit(total).count() == total:
+            break
+        left, size = left.join(batch, ["repo", "node_id"], "left_anti"), 4 * size
+    # at most per_source rows a source are left, and only the first ``total`` of them are ranked together
+    first = found.orderBy("source_repo", "source_id", "ords").limit(total)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("source_repo", "source_id", "ords")))
+
+
+def _steps_to_cross(steps: DataFrame, most: int) -> DataFrame:
+    """(repo, node_id, need): how many steps a path must take from a node to have crossed, where ``most`` are enough."""
+    at = steps.select(F.col("src_repo").alias("repo"), F.col("src_id").alias("node_id"), "dst_repo", "dst_id", "scope")
+    front = settled(at.where("scope = 'cross'").select("repo", "node_id").distinct().withColumn("need", F.lit(1)))
+    found = front
+    for n in range(2, most + 1):
+        if front.isEmpty():
+            break
+        on = front.select(F.col("repo").alias("dst_repo"), F.col("node_id").alias("dst_id"))
+        back = at.join(on, ["dst_repo", "dst_id"], "left_semi").select("repo", "node_id").distinct()
+        front = settled(back.join(found, ["repo", "node_id"], "left_anti").withColumn("need", F.lit(n)))
+        found = found.unionByName(front)
+    return found
+
+
+def _walk(steps: DataFrame, start: DataFrame, max_nodes: int, per_source: int) -> DataFrame:
+    """The first ``per_source`` chains of each source: (source_repo, source_id, path, scopes, ords)."""
     here = F.struct(F.col("repo"), F.col("node_id"))
-    start = sources.where("node_id <> ''").select("repo", "node_id").distinct()
     state = start.select(F.col("repo").alias("source_repo"), F.col("node_id").alias("source_id"), "repo", "node_id", F.array(here).alias("path"), F.array(F.lit("source")).alias("scopes"), F.array().cast("array<int>").alias("ords"), F.lit(False).alias("crossed"))
     before = Window.partitionBy("source_repo", "source_id").orderBy("ords").rowsBetween(Window.unboundedPreceding, 0)
     on = (F.col("repo") == F.col("src_repo")) & (F.col("node_id") == F.col("src_id"))
     there = F.struct(F.col("dst_repo").alias("repo"), F.col("dst_id").alias("node_id"))
     for level in range(1, max_nodes):
         front = state.where(F.size("path") == level)
-        nxt = front.join(steps, on).where(~F.array_contains("path", there))
-        nxt = nxt.select("source_repo", "source_id", F.col("dst_repo").alias("repo"), F.col("dst_id").alias("node_id"), F.concat("path", F.array(there)).alias("path"), F.concat("scopes", F.array("scope")).alias("scopes"), F.concat("ords", F.array("ord")).alias("ords"), (F.col("crossed") | (F.col("scope") == "cross")).alias("crossed"))
+        crossed = F.col("crossed") | (F.col("scope") == "cross")
+        # a path of level + 1 nodes that hasn't crossed needs room for the steps that it still has to take
+        nxt = front.join(steps, on).where(~F.array_contains("path", there) & (crossed | (F.col("need") <= max_nodes - 1 - level)))
+        nxt = nxt.select("source_repo", "source_id", F.col("dst_repo").alias("repo"), F.col("dst_id").alias("node_id"), F.concat("path", F.array(there)).alias("path"), F.concat("scopes", F.array("scope")).alias("scopes"), F.concat("ords", F.array("ord")).alias("ords"), crossed.alias("crossed"))
         # chains so far and open paths in preorder; what comes after per_source chains can't lead to one that counts
         every = state.where("crossed").unionByName(nxt).withColumn("chains", F.sum(F.col("crossed").cast("int")).over(before))
-        state = settled(every.where((F.col("chains") < per_source) | (F.col("crossed") & (F.col("chains") == per_source))).drop("chains"))
+        last, state = state, settled(every.where((F.col("chains") < per_source) | (F.col("crossed") & (F.col("chains") == per_source))).drop("chains"))
+        discard(last)
         if state.where(F.size("path") == level + 1).isEmpty():
             break
-    found = state.where("crossed").select("source_repo", "source_id", "path", "scopes", "ords")
-    # at most per_source rows a source are left, and only the first ``total`` of them are ranked together
-    first = found.orderBy("source_repo", "source_id", "ords").limit(total)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("source_repo", "source_id", "ords")))
+    return state.where("crossed").select("source_repo", "source_id", "path", "scopes", "ords")
 
 
 def exposure(call_edges: DataFrame, cross_edges: DataFrame, sources: DataFrame, names: DataFrame) -> dict[str, DataFrame]:

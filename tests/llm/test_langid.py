@@ -98,6 +98,9 @@ def test_sample(spark, monkeypatch):
     monkeypatch.setattr(langid, "SAMPLE", 1200)
     got = langid.sample(many).collect()
     assert len({r.lang for r in got}) > 450 and 800 < len(got) < 1600
+    monkeypatch.setattr(langid, "BROADCAST_LANGUAGES", 10)
+    assert sorted(langid.sample(many).collect()) == sorted(got)
+    monkeypatch.setattr(langid, "BROADCAST_LANGUAGES", 10_000)
     same = many.limit(1).crossJoin(spark.range(5000)).drop("id")
     assert len(langid.sample(same.unionByName(many.limit(5))).collect()) <= 6
     monkeypatch.setattr(langid, "SAMPLE", 1)

@@ -32,6 +32,8 @@ PER_LANGUAGE, WINDOWS = 300, 3
 #: Documents of the whole sample, about, however many the languages, and the buckets of a training text (its commonest):
 #: together at most 160 MB of counts in the driver. Predictions have no such bounds.
 SAMPLE, TEXT_BUCKETS = 4800, 4096
+#: Up to so many languages' shares are broadcast; beyond, narrow rows are joined to the same result.
+BROADCAST_LANGUAGES = 10_000
 EPOCHS, RATE, BATCH = 12, 40.0, 32
 #: Of validation texts, the share that may be rejected; a score over MOST is never rejected.
 REJECTS, MOST = 0.002, 0.5
@@ -165,9 +167,16 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
     languages = counts.agg(F.count("*").alias("languages"))
     share = F.least(F.lit(float(per_language)), F.lit(float(SAMPLE)) / F.col("languages")) / F.col("rows")
-    table = counts.crossJoin(languages).select(F.col("lang").alias("_l"), share.alias("_share"))  # a row each, by one row
+    table = written(counts.crossJoin(languages).select(F.col("lang").alias("_l"), share.alias("_share")), "shares")  # a row each, by one row
     u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return known.join(table, F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("doc_id", "text", "lang").dropDuplicates()
+    few = table.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    if few:
+        chosen = known.join(F.broadcast(table), F.col("lang") == F.col("_l")).where(u < F.col("_share"))
+    else:  # the same rows, found without shuffling texts: about SAMPLE keys come back to them
+        narrow = known.select("doc_id", "lang", u.alias("_u"), F.xxhash64("text").alias("_h"))
+        keys = written(narrow.join(table, F.col("lang") == F.col("_l")).where("_u < _share").select("doc_id", "_u", "_h").distinct(), "keys")
+        chosen = known.withColumns({"_u": u, "_h": F.xxhash64("text")}).join(F.broadcast(keys), ["doc_id", "_u", "_h"])
+    return chosen.select("doc_id", "text", "lang").dropDuplicates()
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:

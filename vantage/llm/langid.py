@@ -42,16 +42,25 @@ UNKNOWN = "und"
 _CHUNK = 1 << 20
 
 
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def _not_letters() -> re.Pattern:
-    """Runs of characters outside the categories L: \\w also has numbers that are no decimal digits, such as fractions."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{numbers}]+")
+def _numbers() -> tuple[re.Pattern, re.Pattern]:
+    """Numbers that are no decimal digits, such as fractions, which \\w takes in; apart from those beyond U+FFFF, as sets of these are slow."""
+    every = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(f"[{''.join(c for c in every if c <= '\uffff')}]"), re.compile(f"[{''.join(c for c in every if c > '\uffff')}]")
 
 
 def cleaned(text: str | None) -> bytes:
-    """Lower-cased words with single spaces between and around them; empty if there is no letter."""
-    words = _not_letters().sub(" ", text.lower()).strip() if text else ""
+    """Lower-cased words with single spaces between and around them; empty if there is no letter (Unicode category L)."""
+    words = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    if not words.isascii():
+        near, far = _numbers()
+        words = near.sub(" ", words)
+        if max(words) > "\uffff":
+            words = far.sub(" ", words)
+        words = " ".join(words.split())
     return f" {words} ".encode("utf-8", "surrogatepass") if words else b""
 
 

@@ -238,6 +238,68 @@ def test_port(spark):
     assert {tuple(r) for r in port.representatives(mods).collect()} == {("m", "a", "a"), ("m", "b", "b")}
 
 
+def test_links_are_judged_once(spark, tmp_path):
+    from vantage.operators.link import _EDGE
+
+    def say(prompts):  # rejects a link to /no; everything it is asked about stands in asked/
+        import uuid
+
+        for p in prompts:
+            with open(f"{asked}/{uuid.uuid4().hex}", "w") as f:
+                f.write(p)
+        return [json.dumps({"results": [{"index": i, "is_match": "| /no |" not in line, "confidence": "high"} for i, line in enumerate(x for x in p.splitlines() if " | " in x)]}) for p in prompts]
+
+    types = ", ".join(f"{c} {'int' if c == 'client_line' else 'string'}" for c in _EDGE)
+    row = lambda sig, line: ("fe", "be", "http", "b1", "", sig, "a.js", line, "s", "", "", "exact", "medium", "forward")
+    asked = str(tmp_path / "asked")
+    os.makedirs(asked)
+    before = spark.createDataFrame([row("/x", 1), row("/no", 2)], types)
+    first = port.confirm_new(before, say, None)
+    store, cfg = V.Snapshots(spark, str(tmp_path / "store")), C.Project("shop")
+    assert engine.earlier_links(store, cfg, {"be": "1"}) is None
+    engine.save_links(store, cfg, {"be": "1"}, first)
+    assert engine.earlier_links(store, cfg, {"be": "1"}) is None  # only links of other versions are earlier ones
+    earlier = engine.earlier_links(store, cfg, {"be": "2"})
+    assert [r.server_signature for r in earlier.collect()] == ["/x"]
+    for n in os.listdir(asked):
+        os.remove(f"{asked}/{n}")
+    now = spark.createDataFrame([row("/x", 1), row("/no", 2), row("/new", 3), row(None, 4)], types)
+    got = {(r.server_signature, r.client_line): r.confidence for r in port.confirm_new(now, say, earlier).collect()}
+    assert got[("/x", 1)] == "high" and got[("/new", 3)] == "high" and ("/no", 2) not in got and (None, 4) in got
+    text = "".join(open(f"{asked}/{n}").read() for n in os.listdir(asked))
+    assert "/new" in text and "/x" not in text
+    assert port.confirm_new(now, None, earlier).count() == 4 and port.confirm_new(now.limit(0), say, earlier).count() == 0
+
+
+def test_checkpoints_hold_everything(spark, project):
+    nodes, edges, lines = graph_of(spark, project, "backend")
+    out = str(project / "out")
+    store = V.Snapshots(spark, str(project / "store"))
+
+    def unsure(prompts):  # what stands on disk when the judge is asked was written before
+        with open(f"{out}/repos/backend_entry_points.json") as f:
+            before = json.load(f)
+        assert before["entry_points"] and before["interfaces"] == {}
+        open(f"{out}/asked", "w").close()
+        return ["no answer"] * len(prompts)
+
+    done = engine.rescan(store, "backend", "v1", nodes, edges, lines, "python", unsure, out)
+    assert os.path.exists(f"{out}/asked")
+    back = V.load_checkpoints(spark, {"backend": V.checkpoint_path(out, "backend")})
+    key = lambda df: {(r.node_id, r.function_name, r.start_line, r.entry_point_type, r.confidence, json.dumps(r.external_sources), r.descriptor.signature, r.descriptor.interface_kind) for r in df.collect()}
+    assert key(back) == key(done) and back.where("size(external_sources) > 0").count() > 0
+    loose = done.withColumn("descriptor", F.lit(None).cast(M.DESCRIPTOR))
+    engine.checkpoint(loose, "backend", "python", out)
+    assert V.load_checkpoints(spark, {"backend": V.checkpoint_path(out, "backend")}).where("descriptor is null").count() == done.count()
+
+
+def test_judge_by_name():
+    asked = lambda *more: cli._judge(cli.parser().parse_args(["scan", *more]))
+    assert asked() is None and asked("--judge", "json:dumps") is json.dumps and asked("--judge", "json:dumps", "--no-llm") is None
+    with pytest.raises(AttributeError):
+        asked("--judge", "json:nothing")
+
+
 def test_fallback(spark):
     rows = [("deserialization", 'x = "/api/v1/orders"', "python", "f", "http", "/api/v1/orders"), ("environment_variable", 'extern "C" void g()', "cpp", "g", "ffi", "g"), ("unknown", '[DllImport("n.dll")]', "c_sharp", "run", "pinvoke", "run"), ("file_read", None, "python", "f", "file", ""), ("odd", "", "go", "f", "none", "")]
     df = spark.createDataFrame(rows, "t string, code string, lang string, name string, kind string, sig string")

@@ -6,6 +6,7 @@ Code graphs come as Parquet folders (--nodes, --edges, --lines) or, for Python s
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import logging
 import os
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vantage import model as M
 from vantage.plans import engine
+from vantage.port import Judge
 from vantage.runtime import session, settled
 from vantage.sinks import render
 from vantage.sources import config as C
@@ -33,6 +35,10 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--output-dir", default=out, required=out is None)
         return s
 
+    def judged(s: argparse.ArgumentParser) -> None:
+        s.add_argument("--judge", help="module:name of a callable from prompts to answers; without one, results are offline")
+        s.add_argument("--no-llm", action="store_true", help="judge nothing, even where --judge is given")
+
     def graph_source(s: argparse.ArgumentParser) -> None:
         s.add_argument("--project-path")
         s.add_argument("--language", default="auto")
@@ -41,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
 
     s = add("scan", "./scan_output")
     graph_source(s)
+    judged(s)
     s.add_argument("--html-report", action="store_true")
     s.add_argument("--graph", action="store_true")
     s.add_argument("--graph-format", choices=["svg", "cert", "both"], default="svg")
@@ -56,6 +63,7 @@ def parser() -> argparse.ArgumentParser:
     s = add("project", "./project_output")
     s.add_argument("--config")
     graph_source(s)
+    judged(s)
     s.add_argument("--config-format", choices=["json", "threagile"], default="json")
     s.add_argument("--graph-format", choices=["svg", "cert", "both"], default="svg")
     s.add_argument("--auto-links", action="store_true")
@@ -91,10 +99,18 @@ def _one(args: argparse.Namespace) -> C.Repo:
     return C.Repo(os.path.basename(path) or "project", path, language)
 
 
+def _judge(args: argparse.Namespace) -> Judge | None:
+    """The callable that --judge names; it has to be importable on the executors too."""
+    if args.no_llm or not args.judge:
+        return None
+    module, _, name = args.judge.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def _scan(spark: SparkSession, args: argparse.Namespace) -> None:
     repo = _one(args)
     nodes, edges, lines = _read(spark, args, [repo])
-    entries = engine.scan(nodes, edges, lines, nodes.select("repo").distinct().withColumn("language", F.lit(repo.language)))
+    entries = engine.scan(nodes, edges, lines, nodes.select("repo").distinct().withColumn("language", F.lit(repo.language)), _judge(args))
     out = args.output_dir
     log.info(render.entry_points_json(entries, repo.name, repo.language, os.path.join(out, "entry_points.json")))
     if args.html_report:
@@ -149,13 +165,18 @@ def _project(spark: SparkSession, args: argparse.Namespace) -> None:
         architecture = C.save_project(project, os.path.join(args.output_dir, name), args.config_format)
     nodes, edges, lines = _read(spark, args, project.repos)
     entries = V.load_checkpoints(spark, {r.name: V.checkpoint_path(args.entrypoints_dir, r.name) for r in project.repos}) if args.entrypoints_dir else None
+    judge, store, versions = _judge(args), None, {}
     if entries is None and not args.no_cache and not args.nodes:
         store = V.Snapshots(spark, os.path.join(args.output_dir, "cache"))
+        versions = {r.name: V.version(r.path) for r in project.repos}
         for r in project.repos:
             part = lambda df, r=r: df.where(F.col("repo") == r.name)
-            own = engine.rescan(store, r.name, V.version(r.path), part(nodes), part(edges), part(lines), r.language)
+            own = engine.rescan(store, r.name, versions[r.name], part(nodes), part(edges), part(lines), r.language, judge, args.output_dir)
             entries = own if entries is None else entries.unionByName(own)
-    result = engine.analyse(project, nodes, edges, lines, auto=args.auto_links, entries=entries)
+    earlier = engine.earlier_links(store, project, versions) if store else None
+    result = engine.analyse(project, nodes, edges, lines, judge, auto=args.auto_links, entries=entries, earlier=earlier)
+    if store:
+        engine.save_links(store, project, versions, result.links)
     log.info(engine.save(result, args.output_dir, args.graph_format))
     if architecture and args.config_format == "threagile":
         found = result.links.select("from_repo", "to_repo", "link_type").distinct().orderBy("from_repo", "to_repo", "link_type")

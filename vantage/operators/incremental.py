@@ -38,7 +38,7 @@ def previous_version(snapshots: DataFrame, current: DataFrame, key: list[str]) -
 def reuse(new: DataFrame, old: DataFrame, key: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
     """New rows whose key an old row has, with its values; and those that must be worked out. Of equal old keys the last counts.
 
-    Keys compare null-safely by their own types.
+    A key with a null matches nothing, so its row is worked out again.
     """
     w = Window.partitionBy(*key).orderBy(*(F.desc_nulls_last(v) for v in values))
     last = old.select(*key, *values).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vantage import model as M
 from vantage.operators import extract, graph, link, resolve
-from vantage.port import Judge, confirm, describe
+from vantage.port import Judge, confirm_new, describe
 from vantage.runtime import settled
 from vantage.sinks import render
 from vantage.sources import versions as V
@@ -48,8 +48,11 @@ def scan(nodes: DataFrame, edges: DataFrame, lines: DataFrame, languages: DataFr
     return settled(describe(found.join(code.withColumnRenamed("body", "code"), ["repo", "node_id"], "left"), judge))
 
 
-def analyse(project: Project, nodes: DataFrame, edges: DataFrame, lines: DataFrame, judge: Judge | None = None, auto: bool = False, bidirectional: bool = True, entries: DataFrame | None = None) -> Result:
-    """Everything about a project. ``entries`` may come from an earlier scan (with descriptors)."""
+def analyse(project: Project, nodes: DataFrame, edges: DataFrame, lines: DataFrame, judge: Judge | None = None, auto: bool = False, bidirectional: bool = True, entries: DataFrame | None = None, earlier: DataFrame | None = None) -> Result:
+    """Everything about a project. ``entries`` may come from an earlier scan (with descriptors).
+
+    ``earlier`` are links that a judge confirmed for another version; candidates that they hold aren't judged again.
+    """
     from vantage.operators.interfaces import endpoint_rows
 
     spark = nodes.sparkSession
@@ -61,7 +64,7 @@ def analyse(project: Project, nodes: DataFrame, edges: DataFrame, lines: DataFra
         links = link.authoritative_links(declared, endpoints)
     else:
         found = link.auto_links(repos, endpoints, lines, bidirectional) if auto or not project.links else link.find_links(declared, endpoints, lines, bidirectional)
-        links = confirm(settled(found), judge).drop("pattern_ord", "pattern")
+        links = confirm_new(settled(found), judge, earlier).drop("pattern_ord", "pattern")
     links = settled(_bound(links, nodes, entries))
     servers = entries.where(F.col("descriptor.interface_role").isin("server", "both")).select("repo", "node_id")
     names = nodes.select("repo", "node_id", "name").unionByName(entries.select("repo", "node_id", F.col("function_name").alias("name")))
@@ -83,26 +86,47 @@ def _bound(links: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
     return resolve.fill_clients(spot, a, b, names).drop("client_repo")
 
 
-def rescan(snapshots: V.Snapshots, repo: str, version: str, nodes: DataFrame, edges: DataFrame, lines: DataFrame, language: str, judge: Judge | None = None) -> DataFrame:
+def rescan(snapshots: V.Snapshots, repo: str, version: str, nodes: DataFrame, edges: DataFrame, lines: DataFrame, language: str, judge: Judge | None = None, folder: str | None = None) -> DataFrame:
     """Entry points of a repository's version: read where they are known; else only new entry points are described.
 
-    An entry point is known by file, function and lines.
+    An entry point is known by file, function and lines. With a ``folder``, its checkpoint is written before anything is
+    judged and again afterwards, so that a run that breaks off in between can go on from it.
     """
     spark = nodes.sparkSession
     if (done := snapshots.load("repo", repo, version)) is not None:
         return done
     languages = spark.createDataFrame([(repo, language)], "repo string, language string")
     old = snapshots.previous("repo", repo, version)
-    if old is None or judge is None:
-        found = scan(nodes, edges, lines, languages, judge)
-    else:
+    found = scan(nodes, edges, lines, languages, None)
+    if judge is not None:
+        fresh = found.drop("descriptor")
+        checkpoint(fresh.withColumn("descriptor", F.lit(None).cast(M.DESCRIPTOR)), repo, language, folder)
+    if judge is not None and old is None:
+        found = describe(fresh, judge)
+    elif judge is not None:
         key = ["file_path", "function_name", "start_line", "end_line"]
-        fresh = scan(nodes, edges, lines, languages, None).drop("descriptor")
         known = old.select(*key, "descriptor").groupBy(*key).agg(F.max("descriptor").alias("descriptor"))
         kept = fresh.join(known, key)
         found = kept.unionByName(describe(settled(fresh.join(known, key, "left_anti")), judge).select(kept.columns))
     snapshots.save("repo", repo, version, found)
-    return snapshots.load("repo", repo, version)
+    done = snapshots.load("repo", repo, version)
+    checkpoint(done, repo, language, folder)
+    return done
+
+
+def checkpoint(entries: DataFrame, repo: str, language: str, folder: str | None) -> str | None:
+    """A repository's entry points as JSON in ``folder``/repos; nothing without a folder."""
+    return render.checkpoint_json(entries, repo, language, os.path.join(folder, "repos", f"{repo}_entry_points.json")) if folder else None
+
+
+def earlier_links(snapshots: V.Snapshots, project: Project, versions: dict[str, str]) -> DataFrame | None:
+    """The project's links of the newest other set of versions, or None."""
+    return snapshots.previous("links", project.project, V.links_digest(versions))
+
+
+def save_links(snapshots: V.Snapshots, project: Project, versions: dict[str, str], links: DataFrame) -> None:
+    """Keep a project's links under the hash of its repositories' versions."""
+    snapshots.save("links", project.project, V.links_digest(versions), links)
 
 
 def call_graph(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -118,7 +142,7 @@ def save(result: Result, folder: str, form: str = "svg") -> dict[str, str]:
     out = {}
     for r in result.project.repos:
         own = result.entries.where(F.col("repo") == r.name)
-        out[r.name] = render.entry_points_json(own, r.name, r.language, os.path.join(folder, "repos", f"{r.name}_entry_points.json"))
+        out[r.name] = render.checkpoint_json(own, r.name, r.language, os.path.join(folder, "repos", f"{r.name}_entry_points.json"), r.role, r.path)
     out["cross_edges"] = render.rows_json(result.links, os.path.join(folder, "cross_edges.json"))
     c = result.surface["chains"]
     named = c.select("source_repo", "source_id", F.to_json("path").alias("path"), F.array_join("scopes", " ").alias("scopes"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage import model as M
-from vantage.operators import interfaces
+from vantage.operators import incremental, interfaces
 from vantage.runtime import settled
 
 Judge = Callable[[list[str]], list[str | None]]
@@ -101,6 +101,23 @@ def confirm(edges: DataFrame, judge: Judge | None = None, n: int = M.LINK_BATCH)
     return interfaces.spread(keyed, GROUP, decided, F.col("confidence")).select(edges.columns)
 
 
+KNOWN = ["link_type", "to_repo", "server_signature", "from_repo", "client_file", "client_line"]
+
+
+def confirm_new(edges: DataFrame, judge: Judge | None = None, earlier: DataFrame | None = None, n: int = M.LINK_BATCH) -> DataFrame:
+    """``confirm`` that asks only about candidates which no earlier link has by ``KNOWN``.
+
+    The others stay with that link's confidence; both parts are returned. Links that were rejected are no earlier
+    links, so they are judged again.
+    """
+    if judge is None or earlier is None:
+        return confirm(edges, judge, n)
+    own = edges.withColumnRenamed("confidence", "_own")
+    kept, rest = incremental.reuse(own, earlier, KNOWN, ["confidence"])
+    asked = confirm(settled(rest.withColumnRenamed("_own", "confidence")), judge, n)
+    return kept.select(edges.columns).unionByName(asked.select(edges.columns))
+
+
 def representatives(modules: DataFrame, judge: Judge | None = None) -> DataFrame:
     """(module, type, representative) for modules of two types or more; without a judge a type stands for itself."""
     each = modules.where(F.size("types") > 1).select("module", F.posexplode("types").alias("index", "type"))

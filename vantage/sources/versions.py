@@ -140,18 +140,23 @@ class Snapshots:
 
 
 def load_checkpoints(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Entry points (repo, node_id, entry, descriptor) of per-repository JSON checkpoints; a missing file is an error."""
+    """Entry points and descriptors of per-repository JSON checkpoints; a missing file is an error.
+
+    A checkpoint from before validation has no descriptors; they are null then. Sources may go by either of their names.
+    """
     missing = [p for p in paths.values() if not os.path.isfile(p)]
     if missing:
         raise FileNotFoundError(", ".join(missing))
-    from vantage.model import DESCRIPTOR
+    from vantage.model import DESCRIPTOR, SOURCE
 
-    entry = "struct<function_name: string, file_path: string, start_line: int, end_line: int, entry_point_type: string, external_sources: array<struct<name: string, line_number: int, file: string, entry_point_type: string>>, is_root_function: boolean>"
+    entry = f"struct<function_name: string, file_path: string, start_line: int, end_line: int, entry_point_type: string, external_input_sources: array<{SOURCE}>, external_sources: array<{SOURCE}>, is_root_function: boolean, confidence: string, external_data_description: string, explanation: string>"
     schema = f"entry_points map<string, {entry}>, interfaces map<string, {DESCRIPTOR}>"
+    sources = F.coalesce("e.external_input_sources", "e.external_sources", F.array().cast(f"array<{SOURCE}>")).alias("external_sources")
     out = None
     for repo, path in paths.items():
         d = spark.read.schema(schema).option("multiLine", True).json(path)
-        rows = d.select(F.lit(repo).alias("repo"), F.explode("entry_points").alias("node_id", "entry"), "interfaces").select("repo", "node_id", "entry.*", F.try_element_at("interfaces", "node_id").alias("descriptor"))
+        e = d.select(F.explode("entry_points").alias("node_id", "e"), "interfaces")
+        rows = e.select(F.lit(repo).alias("repo"), "node_id", *(f"e.{c}" for c in ("function_name", "file_path", "start_line", "end_line", "entry_point_type")), sources, *(f"e.{c}" for c in ("is_root_function", "confidence", "external_data_description", "explanation")), F.try_element_at("interfaces", "node_id").alias("descriptor"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -186,3 +186,24 @@ def test_clashing_columns(spark):
     got = mixing.weigh(docs).collect()
     assert len(got) == 2 and all((r._tokens, r._source, r.c0) == ("a", "b", "d") and 0 <= r.p <= 1 for r in got)
     assert "text" not in mixing.weigh(docs, with_text=False).columns
+
+
+def test_topics_come_from_all_documents(spark, monkeypatch):
+    """Rarities count every document and each centre is the mean direction of all its documents, however few start it."""
+    rng = np.random.default_rng(5)
+    words = [[f"{'abcdefgh'[g]}{w}x" for w in range(30)] for g in range(4)]
+    rows = [(i, " ".join(rng.choice(words[i % 4], 25))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(mixing, "SAMPLE", 30)
+    monkeypatch.setattr(mixing, "SUMS", 2)
+    monkeypatch.setattr(mixing, "STILL", 1e-9)
+    model, library = mixing.fit_topics(docs.repartition(7)), Tokenizer.from_file(default_tokenizer())
+    x = np.array([mixing.frequencies(np.array(library.encode(t, add_special_tokens=False).ids)) for _, t in rows])
+    assert model.rarity == pytest.approx(np.log(401 / (1 + (x > 0).sum(axis=0))) + 1e-3, abs=1e-5)
+    y = x * model.rarity
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    at = (y @ model.centres.T).argmax(axis=1)
+    assert len(model.centres) == mixing.TOPICS
+    for k, c in enumerate(model.centres):
+        total = y[at == k].sum(axis=0)
+        assert c == pytest.approx(total / np.linalg.norm(total), abs=1e-3)

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from vantage import model as M
 from vantage.functions import text as X
-from vantage.operators import link
+from vantage.operators import link, uses
 
 SERVER = ("backend", "b1", "CreateOrder", "o.go", 3, "http_request", "http", "server", "POST /api/v1/orders", ["/api/v1/orders", "orders"])
 CLIENT = ("frontend", "f1", "fetchOrders", "api.js", 9, "http_request", "http", "client", "GET /api/v1/orders", ["/api/v1/orders"])
@@ -60,3 +60,27 @@ def test_compatibility():
     assert "reverse-proxy" in M.compatible_types("http") and "rpc" in M.compatible_types("grpc") and M.compatible_types("none") == ()
     assert len(M.PROTOCOLS) == 48 and len(M.PROTOCOL_TO_LINK_TYPE) == 54 and set(M.LINK_TYPE_TO_PROTOCOL.values()) <= set(M.PROTOCOLS) and set(M.LINK_TYPE_TO_PROTOCOL) == set(M.LINK_TYPES)
     assert [len(M.api_rules(x)) for x in ("python", "cpp", "go", "java", "typescript", "c_sharp", "c", "x")] == [35, 24, 25, 23, 19, 20, 24, 0]
+
+
+def _mixed(spark):
+    """Equal and repeated endpoints, two kinds, short patterns, many hits in a file, client places that forward hits share."""
+    urls = ["/api/v1/orders", "/the", "/api", "/x/abc", "GET /abc"]
+    eps = [(f"r{i % 3}", f"n{i % 17:02d}", f"fn{i}", f"f{i % 7}", i % 4, "http_request", ("http", "grpc")[i % 2], ("server", "client", "both")[i % 5 % 3], urls[i % 5], [urls[(i + 1) % 5]] if i % 3 else []) for i in range(40)]
+    text = ["see the API", "fetch('/api/v1/orders')", " xthe abc", "/x/ABC the", "", "/the"]
+    lines = [(f"r{r}", f"f{f}", i, text[(i + f + r) % 6]) for r in range(3) for f in range(7) for i in range(120 if f == 3 else 9)]
+    links = spark.createDataFrame([(f"r{a}", f"r{b}", t) for a in range(3) for b in range(3) if a != b for t in ("http", "rpc")], M.LINKS)
+    return links, spark.createDataFrame(eps, M.ENDPOINTS), spark.createDataFrame(lines, M.LINES)
+
+
+def _same_sums(got, candidates):
+    keys = ["from_repo", "to_repo", "link_type", "match_kind", "server_node_id"]
+    want = candidates.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("client_file").alias("files"), F.min("client_snippet").alias("snippet"))
+    rows = sorted(tuple(r) for r in got.select(want.columns).collect())
+    assert rows == sorted(tuple(r) for r in want.collect()) and len(rows) > 10
+
+
+def test_forward_sums_need_no_candidates(spark, monkeypatch):
+    links, eps, lines = _mixed(spark)
+    want = link.forward_links(links, eps, lines)
+    monkeypatch.setattr(uses, "PATTERNS", 4)
+    _same_sums(uses.forward_sums(links, eps, lines), want)

@@ -84,3 +84,9 @@ def test_forward_sums_need_no_candidates(spark, monkeypatch):
     want = link.forward_links(links, eps, lines)
     monkeypatch.setattr(uses, "PATTERNS", 4)
     _same_sums(uses.forward_sums(links, eps, lines), want)
+
+
+def test_auto_sums_need_no_candidates(spark):
+    _, eps, lines = _mixed(spark)
+    repos = spark.createDataFrame([(f"r{i}",) for i in range(3)], "name string")
+    _same_sums(uses.auto_sums(repos, eps, lines), link.auto_links(repos, eps, lines))

@@ -86,6 +86,13 @@ def test_forward_sums_need_no_candidates(spark, monkeypatch):
     _same_sums(uses.forward_sums(links, eps, lines), want)
 
 
+def test_reverse_sums_need_no_candidates(spark, monkeypatch):
+    links, eps, lines = _mixed(spark)
+    want = link.reverse_links(links, eps, lines)
+    monkeypatch.setattr(uses, "PATTERNS", 4)
+    _same_sums(uses.reverse_sums(links, eps, lines), want)
+
+
 def test_auto_sums_need_no_candidates(spark):
     _, eps, lines = _mixed(spark)
     repos = spark.createDataFrame([(f"r{i}",) for i in range(3)], "name string")

@@ -97,3 +97,17 @@ def test_auto_sums_need_no_candidates(spark):
     _, eps, lines = _mixed(spark)
     repos = spark.createDataFrame([(f"r{i}",) for i in range(3)], "name string")
     _same_sums(uses.auto_sums(repos, eps, lines), link.auto_links(repos, eps, lines))
+
+
+def test_authoritative_tests_signatures_once(spark):
+    """Classes give the rows that a test of every pair gives; links without any keep one."""
+    links, eps, _ = _mixed(spark)
+    links = links.unionByName(spark.createDataFrame([("r0", "r9", "http")], M.LINKS))
+    s, c = ({(r.repo, r.link_type, r.node_id, r.function_name): r for r in link.endpoints_for(eps, x).collect()} for x in ("server", "client"))
+    over = lambda p, r: any(z and (p.lower() in z.lower() or z.lower() in p.lower()) for z in (r.signature, *r.signature_aliases))
+    want = []
+    for k in links.collect():
+        hits = [(k.from_repo, k.to_repo, k.type, a.function_name, b.function_name) for a in s.values() for b in c.values() if (a.repo, a.link_type, b.repo, b.link_type) == (k.to_repo, k.type, k.from_repo, k.type) and (over(a.signature, b) or over(b.signature, a))]
+        want += hits or [(k.from_repo, k.to_repo, k.type, "", "")]
+    got = link.authoritative_links(links, eps)
+    assert sorted((r.from_repo, r.to_repo, r.link_type, r.server_function_name, r.client_function_name) for r in got.collect()) == sorted(want) and len(want) > 50

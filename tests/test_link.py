@@ -111,3 +111,14 @@ def test_authoritative_tests_signatures_once(spark):
         want += hits or [(k.from_repo, k.to_repo, k.type, "", "")]
     got = link.authoritative_links(links, eps)
     assert sorted((r.from_repo, r.to_repo, r.link_type, r.server_function_name, r.client_function_name) for r in got.collect()) == sorted(want) and len(want) > 50
+
+
+def test_overlapping_pairs(spark):
+    _, eps, _ = _mixed(spark)
+    rows, want = eps.collect(), {}
+    for a in rows:
+        for b in rows:
+            p = a.signature.lower()
+            if (a.repo, a.interface_kind) == (b.repo, b.interface_kind) and a.node_id < b.node_id and any(z and (p in z.lower() or z.lower() in p) for z in (b.signature, *b.signature_aliases)):
+                want[a.repo, a.interface_kind] = want.get((a.repo, a.interface_kind), 0) + 1
+    assert {(r.repo, r.interface_kind): r.pairs for r in link.overlapping_pairs(eps).collect()} == want

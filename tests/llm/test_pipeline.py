@@ -108,3 +108,16 @@ def test_survivors_by_component(spark):
     assert kept((None, a), (None, c), (1, c)) == sorted([(None, a), (1, c)], key=str)
     # 5 is the least id of b alone: the row of a that has it is a copy of 3
     assert kept((3, a), (5, a), (5, b)) == [(3, a), (5, b)]
+
+
+def test_mixing_learns_from_every_document(spark, monkeypatch):
+    """The stage's topics have the rarities of all its documents, however few of them start the centres."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(mixing, "SAMPLE", 20)
+    fit, models = mixing._fitted, []
+    monkeypatch.setattr(mixing, "_fitted", lambda *a: models.append(fit(*a)) or models[-1])
+    pipeline.mixing(spark, docs, SF)
+    e = Tokenizer.from_file(default_tokenizer())
+    ids = [e.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()]
+    x = np.array([mixing.frequencies(np.array(i)) for i in ids if i])
+    assert np.allclose(models[0].rarity, np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1e-3, atol=1e-5)

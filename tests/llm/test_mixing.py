@@ -207,3 +207,53 @@ def test_topics_come_from_all_documents(spark, monkeypatch):
     for k, c in enumerate(model.centres):
         total = y[at == k].sum(axis=0)
         assert c == pytest.approx(total / np.linalg.norm(total), abs=1e-3)
+
+
+def _rests(model, x):
+    """Every centre is the mean direction of just the rows that it is nearest to, and every centre has rows."""
+    assert np.allclose(model.rarity, np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1e-3, atol=1e-5)
+    y = x * model.rarity
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    at = (y @ model.centres.T).argmax(axis=1)
+    for k, c in enumerate(model.centres):
+        total = y[at == k].sum(axis=0)
+        assert c == pytest.approx(total / np.linalg.norm(total), abs=1e-6)
+    return at
+
+
+def _described(docs):
+    library = Tokenizer.from_file(default_tokenizer())
+    ids = [library.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()]
+    return np.array([mixing.frequencies(np.array(i)) for i in ids if i])
+
+
+def test_rounds_go_on_until_centres_rest(spark, monkeypatch):
+    """No number of rounds and no small turn of a centre ends them, wherever they start and whichever rows are left out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    monkeypatch.setattr(mixing, "SAMPLE", 12)
+    apart, gaps = mixing._apart, []
+    monkeypatch.setattr(mixing, "_apart", lambda *a: gaps.append(a[2]) or apart(*a))
+    model, x = mixing.fit_topics(docs), _described(docs)
+    assert len(set(_rests(model, x))) == mixing.TOPICS and gaps
+    monkeypatch.setattr(mixing, "WIDEST", 0.0)  # every round goes over all rows
+    whole = mixing.fit_topics(docs)
+    assert whole.centres == pytest.approx(model.centres, abs=1e-6)
+
+
+def test_copies_leave_other_texts_their_topics(spark):
+    """A text with very many copies takes no other text's place where the centres start."""
+    texts = ["one and the same"] * 20_000 + [f"{w} {w}s" for w in ("ash", "birch", "cedar", "date", "elm", "fig", "gum")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    x = _described(docs.select("text").distinct())
+    for table in (docs, docs.selectExpr("0L AS doc_id", "text")):
+        y, at, _ = mixing._nearest(x, mixing.fit_topics(table))
+        assert len(set(at)) == len(x) == mixing.TOPICS
+
+
+def test_empty_topics_start_again(spark, monkeypatch):
+    """Where the first texts all look alike, topics come to the documents that don't."""
+    words = ["ash", "birch", "cedar", "date", "elm", "fig", "gum"]
+    docs = spark.createDataFrame([(i, "same words" + " again" * i) for i in range(1, 300)] + [(-i, f"{w} {w}s") for i, w in enumerate(words)], "doc_id long, text string")
+    monkeypatch.setattr(mixing, "SAMPLE", 9)
+    model = mixing.fit_topics(docs)
+    assert len(set(_rests(model, _described(docs)))) == mixing.TOPICS

@@ -257,3 +257,27 @@ def test_empty_topics_start_again(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SAMPLE", 9)
     model = mixing.fit_topics(docs)
     assert len(set(_rests(model, _described(docs)))) == mixing.TOPICS
+
+
+def test_few_rows_are_gone_over_and_set_apart(spark, monkeypatch):
+    """Rounds go over parts of the texts first, and rows are only set apart where they are few of those gone over."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").cache()
+    n, batches, apart, gone, shares = docs.count(), mixing.map_batches, mixing._apart, [], []
+
+    def counted(df, *more):
+        if df.columns == ["x"]:
+            gone.append(df.count())
+        return batches(df, *more)
+
+    def shared(known, *more):
+        got = apart(known, *more)
+        shares.append(got[0].where("x is not null").count() / known.count())
+        return got
+
+    monkeypatch.setattr(mixing, "map_batches", counted)
+    monkeypatch.setattr(mixing, "_apart", shared)
+    monkeypatch.setattr(mixing, "SAMPLE", 400)
+    model = mixing.fit_topics(docs)
+    _rests(model, _described(docs))
+    assert shares and max(shares) < 0.6
+    assert sum(gone) < 12 * n
